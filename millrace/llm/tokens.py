@@ -1,9 +1,9 @@
 """Tokenising with the tokenizers library: exact, with the chunks of a text that recur encoded once per worker.
 
-No pre-token of the supported tokenizers reaches from a character that is not white space into the white space after it, so a text may be cut
-before each run of spaces and line feeds, and the ids of the whole are those of the pieces in turn. Pieces that a worker hasn't seen are
-encoded together, separated by a special token whose places mark their ends. Texts that hold a special token's string or any other white space
-go to the library whole.
+No pre-token of the supported tokenizers reaches from a character that is not white space into the white space after it, or from a letter or digit
+into a comma or full stop, so a text may be cut there, and the ids of the whole are those of the pieces in turn. (After any other
+sign commas and full stops are left where they are.) Pieces that a worker hasn't seen are encoded together, separated by a special token whose places
+mark their ends. Texts that hold a special token's string or any other white space go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,18 +11,36 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: Pieces, and characters of them, that a worker keeps at most; on reaching either it begins anew.
-MOST_PIECES, MOST_CHARS = 500_000, 16_000_000
+#: Pieces, and characters of them, that a worker keeps at most; on reaching either it goes back to the first ones it met, which are the most common.
+MOST_PIECES, MOST_CHARS, FIRST_PIECES = 1_000_000, 20_000_000, 400_000
+LONG_PIECE = 64
 SPECIAL = "<|endoftext|>"
-pieces_of = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+coarse = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+fine = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n,.]*|[ \n]+").findall
+bare = re.compile(r"[^ \n,.]+|[,.][^ \n,.]*").findall  # without white space
+loose = re.compile(r"(?:[^\w]|_)[,.]").search
+beyond_latin = re.compile("[^\x00-\u017f]").search
+
+
+def pieces_of(text: str) -> list[str]:
+    return coarse(text) if loose(text) else fine(text)
+
+
+def bare_pieces_of(text: str) -> list[str]:
+    """For tokenizers that drop white space and case; lower case of Latin letters is the same in Python and in the library."""
+    text = text if beyond_latin(text) else text.lower()
+    return text.split() if loose(text) else bare(text)
+
+
 odd = re.compile(r"[^\S \n]|<\|").search
 
 
 class Encoder:
-    """``drops_space``: the tokenizer drops white space, so that pieces may leave it out."""
+    """``drops_space``: the tokenizer drops white space and case, so that pieces may leave them out."""
 
     def __init__(self, path: str, dtype: type = np.uint32, drops_space: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,7 +51,7 @@ class Encoder:
         self.dtype = dtype
         self.known: dict[str, bytes] = {}
         self.chars = 0
-        self.pieces = str.split if drops_space else pieces_of
+        self.pieces = bare_pieces_of if drops_space else pieces_of
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -55,8 +73,8 @@ class Encoder:
         """Each text's ids, packed. The result doesn't depend on what else was encoded before."""
         cut = [None if odd(t) else self.pieces(t) for t in texts]
         if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
-            self.known.clear()
-            self.chars = 0
+            self.known = {p: ids for p, ids in islice(self.known.items(), FIRST_PIECES) if len(p) <= LONG_PIECE}
+            self.chars = sum(map(len, self.known))
         new = set().union(*[c for c in cut if c]).difference(self.known)
         if new:
             self.learn(list(new))
