@@ -105,7 +105,7 @@ def prediction_total(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PARTS},
   m AS (SELECT doc_id, risk, CASE doc_id % 4 WHEN 0 THEN []::DOUBLE[] WHEN 1 THEN [total] WHEN 2 THEN [total, form] ELSE [form, total, coverage] END AS v,
-        CASE WHEN doc_id % 4 = 3 THEN form END AS tuned0, CASE doc_id % 3 WHEN 0 THEN 'safety_risk' WHEN 1 THEN 'ceval_rewrite' ELSE 'medical_high_sim' END AS kind FROM p),
+        CASE WHEN doc_id % 4 = 3 THEN form END AS tuned0, CASE doc_id % 3 WHEN 0 THEN 'safety_risk' WHEN 1 THEN 'ceval_rewrite' ELSE 'medical_high_sim' END AS kind FROM (SELECT doc_id, round(risk, 3) AS risk, round(total, 3) AS total, round(form, 3) AS form, round(coverage, 3) AS coverage FROM p)),
   s AS (SELECT *, coalesce(tuned0, list_sum(v) / len(v)) AS tuned, list_sum(v) / len(v) AS mean, list_max(v) - list_min(v) AS spread,
         sqrt(list_sum(list_transform(v, lambda x: (x - list_sum(v) / len(v)) * (x - list_sum(v) / len(v)))) / len(v)) AS dev FROM m),
   f AS (SELECT doc_id, CASE WHEN len(v) = 0 THEN 0.0::DOUBLE ELSE round(0.45::DOUBLE * (1 - tuned) + 0.20::DOUBLE * (1 - mean) + 0.15::DOUBLE * greatest(spread, dev) + 0.15::DOUBLE * risk
@@ -116,7 +116,7 @@ def prediction_total(spark: SparkSession, sf: str) -> DataFrame:
   SELECT doc_id, score, reasons, row_number() OVER (ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC) AS rank FROM f""")
 def selection_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of up to three pseudo models per document, ranked."""
-    p = prediction_parts(docs(spark, sf))
+    p = prediction_parts(docs(spark, sf)).select("doc_id", *[F.round(c, 3).alias(c) for c in ("risk", "total", "form", "coverage")])  # no ties at the sixth digit
     pair = lambda **kv: F.create_map(*[x for k, c in kv.items() for x in (F.lit(k), F.col(c))])
     none = F.map_filter(pair(a="total"), lambda k, v: F.lit(False))
     scores = F.when(F.col("doc_id") % 4 == 0, none).when(F.col("doc_id") % 4 == 1, pair(base="total")).when(F.col("doc_id") % 4 == 2, pair(base="total", other="form")).otherwise(pair(sft_10k="form", base="total", other="coverage"))
@@ -126,8 +126,8 @@ def selection_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _complexity(preferred: tuple[str, ...] | None, flat: bool = False) -> str:
-    text = "(question || ' ' || answer)"
-    out = f"{Q.saturating('length(question)', 180, 0.25)} + {Q.saturating('length(answer)', 900, 0.25 if flat else 0.20)}"
+    text = "(trim(question) || ' ' || answer)"
+    out = f"{Q.saturating('length(trim(question))', 180, 0.25)} + {Q.saturating('length(answer)', 900, 0.25 if flat else 0.20)}"
     if flat:
         words = [w for ws in LATIN.complexity.values() for w in ws]
         return out + f" + least({Q.hits(text, words)}, 8) * 0.08::DOUBLE"
