@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,7 +182,6 @@ def tagged_answer(c: Column | str, tag: str = "answer") -> Column:
 
 def boxed_answer(c: Column | str) -> Column:
     """What the last boxed expression holds, its braces balanced; null without one. (Arrow UDF: braces nest.)"""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def inner(texts: pd.Series) -> pd.Series:

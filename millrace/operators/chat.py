@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -251,7 +252,6 @@ def wrapped(system: str, user: Column | str) -> Column:
 
 def rendered_by(messages: Column | str, tokenizer_render) -> Column:
     """Prompts by a function of a list of {role, content}, for models that bring their own template. Arrow UDF."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def apply(rows: pd.Series) -> pd.Series:

@@ -18,7 +18,7 @@ MOST_ROWS = 1000
 
 def row_text(columns: Sequence[str | Column]) -> Column:
     """One line of a Markdown table; pipes and line feeds in values are escaped."""
-    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")), r"\|", r"\\\\|"), "[\r\n]+", " ")
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")), r"\|", r"\\|"), "[\r\n]+", " ")
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +54,6 @@ def list_tools(tools: list[dict], name: str = "default", date: str = "", intro:
 
 def tools_text(tools_json: Column | str, name: str = "default", date: str = "", intro: str = "") -> Column:
     """``list_tools`` of a column with a JSON list. Arrow UDF, as indented JSON isn't what Spark writes; text that isn't a list gives null."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def listed(texts: pd.Series) -> pd.Series:

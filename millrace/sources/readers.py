@@ -6,6 +6,7 @@ import os
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,7 +144,6 @@ def not_test(name: Column | str) -> Column:
 
 def document_texts(spark: SparkSession, path: str, readers: dict | None = None) -> DataFrame:
     """(path, text) of files: txt as it is, html and md without tags, others by ``readers`` (extension: bytes to text). Arrow UDF for those."""
-    import pandas as pd
 
     own = dict(readers or {})
     files = spark.read.format("binaryFile").load(path).select("path", "content", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"))
