@@ -22,7 +22,7 @@ SPECIAL = "<|endoftext|>"
 coarse = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 fine = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n,.]*|[ \n]+").findall
 bare = re.compile(r"[^ \n,.]+|[,.][^ \n,.]*").findall  # without white space
-loose = re.compile(r"(?:[^\w]|_)[,.]").search
+loose = re.compile(r"[,.](?<![^\W_][,.])").search  # a comma or full stop that follows no letter or digit
 beyond_latin = re.compile("[^\x00-\u017f]").search
 
 
@@ -36,7 +36,7 @@ def bare_pieces_of(text: str) -> list[str]:
     return text.split() if loose(text) else bare(text)
 
 
-odd = re.compile(r"[^\S \n]|<\|").search
+odd_space = re.compile(r"[^\S \n]").search
 
 
 class Encoder:
@@ -71,15 +71,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed. The result doesn't depend on what else was encoded before."""
-        cut = [None if odd(t) else self.pieces(t) for t in texts]
         if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
             self.known = {p: ids for p, ids in islice(self.known.items(), FIRST_PIECES) if len(p) <= LONG_PIECE}
             self.chars = sum(map(len, self.known))
-        new = set().union(*[c for c in cut if c]).difference(self.known)
+        cut = [None if "<|" in t or odd_space(t) else self.pieces(t) for t in texts]
+        known = self.known
+        found = [None if c is None else list(map(known.get, c)) for c in cut]
+        new = {p for c, ids in zip(cut, found) if c is not None and None in ids for p, x in zip(c, ids) if x is None}
         if new:
             self.learn(list(new))
-        known = self.known
-        return [self.whole(t) if c is None else b"".join([known[p] for p in c]) for t, c in zip(texts, cut)]
+        out = []
+        for text, c, ids in zip(texts, cut, found):
+            if c is None:
+                out.append(self.whole(text))
+            else:
+                out.append(b"".join([known[p] for p in c] if None in ids else ids))
+        return out
 
 
 @lru_cache(maxsize=2)
