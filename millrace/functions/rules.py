@@ -12,6 +12,11 @@ def words(line: str) -> tuple[str, ...]:
     return tuple(sorted(line.split()))
 
 
+def row(line: str) -> tuple[str, ...]:
+    """Words in this order."""
+    return tuple(line.split())
+
+
 @dataclass(frozen=True)
 class Rules:
     ads: tuple[str, ...]
@@ -77,12 +82,14 @@ CHINESE = Rules(
     ),
     default_category="内科学",
     category_sections={
-        "急诊医学": ("初步判断", "处理建议", "风险提示", "急诊就医建议"),
-        "药物禁忌": ("用药风险", "安全建议", "风险提示", "就医/咨询医生建议"),
-        "儿科学": ("可能原因", "家庭观察", "风险提示", "儿科就医建议"),
-        "妇产科学": ("可能原因", "处理建议", "风险提示", "妇产科就医建议"),
+        "急诊医学": row("初步判断 处理建议 风险提示 急诊就医建议"),
+        "药物禁忌": row("用药风险 安全建议 风险提示 就医/咨询医生建议"),
+        "儿科学": row("可能原因 家庭观察 风险提示 儿科就医建议"),
+        "妇产科学": row("可能原因 处理建议 风险提示 妇产科就医建议"),
+        "检查检验解读": row("指标解读 可能原因 风险提示 复查/就医建议"),
+        "医学影像初步解读": row("影像提示 可能原因 风险提示 进一步检查建议"),
     },
-    default_sections=("分析", "建议", "风险提示", "就医建议"),
+    default_sections=row("分析 建议 风险提示 就医建议"),
     section_keys=(
         ("analysis", ("依据", "分析", "诊断"), ()),
         ("suggestion", ("建议",), ("就医",)),

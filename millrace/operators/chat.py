@@ -180,42 +180,62 @@ class Template:
     stop: str = "</s>"
 
 
-_IM = "<|im_start|>user\n{query}<|im_end|>\n<|im_start|>assistant\n"
+
+def _tag(name: str) -> str:
+    return f"<|{name}|>"
+
+
+def _wide(name: str) -> str:
+    return f"<｜{name}｜>"
+
+
+def _ask(before: str, after: str) -> str:
+    return before + "{query}" + after
+
+
+def _header(role: str) -> str:
+    return _tag("start_header_id") + role + _tag("end_header_id") + "\n\n"
+
+
+_IM_END = _tag("im_end")
+_IM = _ask(_tag("im_start") + "user\n", _IM_END + "\n" + _tag("im_start") + "assistant\n")
+_NO_THOUGHT = "<think>\n\n</think>\n\n"
+_START, _END = _tag("START_OF_TURN_TOKEN"), _tag("END_OF_TURN_TOKEN")
 #: Longer system prompts that models publish are to be passed in.
 TEMPLATES = {
-    "base": Template("{query}", "</s>"),
-    "vicuna": Template("USER: {query} ASSISTANT:", "</s>"),
-    "alpaca": Template("### Instruction:\n{query}\n\n### Response:\n", "\n\n"),
-    "baichuan": Template("<reserved_102>{query}<reserved_103>", "</s>"),
-    "baichuan2": Template("<reserved_106>{query}<reserved_107>", "</s>"),
-    "ziya": Template("<human>:{query}\n<bot>:", "\n"),
-    "linly": Template("User: {query}\nBot: ", "\n"),
-    "chatglm": Template("问：{query}\n答：", "\n"),
-    "chatglm2": Template("问：{query}\n\n答：", "\n\n"),
-    "chatglm3": Template("<|user|>\n{query}<|assistant|>", "\n", stop="<|user|>"),
-    "phoenix": Template("Human: <s>{query}</s>Assistant: ", "</s>"),
-    "belle": Template("Human: {query}\n\nBelle: ", "\n\n"),
-    "aquila": Template("Human: {query}###Assistant:", "###"),
-    "intern": Template("<|User|>:{query}<eoh>\n<|Bot|>:", "<eoa>\n", stop="<eoa>"),
-    "intern2": Template(_IM, "<|im_end|>\n", stop="<|im_end|>"),
-    "starchat": Template("<|user|>\n{query}<|end|>\n<|assistant|>\n", "<|end|>\n", "<system>\n", "<|end|>"),
-    "llama2": Template("[INST] {query} [/INST]", "</s>"),
-    "llama2-zh": Template("[INST] {query} [/INST]", "</s>"),
-    "llama3": Template("<|start_header_id|>user<|end_header_id|>\n\n{query}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "<|eot_id|>", stop="<|eot_id|>"),
-    "mistral": Template("[INST] {query} [/INST]", "</s>"),
-    "xverse": Template("Human: {query}\n\nAssistant: ", "</s>"),
-    "chatml": Template(_IM, "<|im_end|>\n", "You are a helpful assistant.", "<|im_end|>"),
-    "deepseek": Template("User: {query}\n\nAssistant:", "</s>"),
-    "deepseek3": Template("<｜User｜>{query}<｜Assistant｜>", "</s>"),
-    "deepseekcoder": Template("### Instruction:\n{query}\n### Response:\n", "\n", stop="<|EOT|>"),
-    "yi": Template(_IM, "\n", stop="<|im_end|>"),
-    "orion": Template("Human: {query}\n\nAssistant: </s>", "</s>"),
-    "cohere": Template("<|START_OF_TURN_TOKEN|><|USER_TOKEN|>{query}<|END_OF_TURN_TOKEN|><|START_OF_TURN_TOKEN|><|CHATBOT_TOKEN|>", "</s>", "<BOS_TOKEN>"),
-    "qwen": Template(_IM, "<|im_end|>\n", "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n", "<|im_end|>"),
-    "qwen3": Template(_IM, "<|im_end|>\n", "", "<|im_end|>"),
-    "qwen3_nothink": Template(_IM + "<think>\n\n</think>\n\n", "<|im_end|>\n", "", "<|im_end|>"),
-    "qwen3_5": Template(_IM, "<|im_end|>\n", "", "<|im_end|>"),
-    "qwen3_5_nothink": Template(_IM + "<think>\n\n</think>\n\n", "<|im_end|>\n", "", "<|im_end|>"),
+    "base": Template(_ask("", ""), "</s>"),
+    "vicuna": Template(_ask("USER: ", " ASSISTANT:"), "</s>"),
+    "alpaca": Template(_ask("### Instruction:\n", "\n\n### Response:\n"), "\n\n"),
+    "baichuan": Template(_ask("<reserved_102>", "<reserved_103>"), "</s>"),
+    "baichuan2": Template(_ask("<reserved_106>", "<reserved_107>"), "</s>"),
+    "ziya": Template(_ask("<human>:", "\n<bot>:"), "\n"),
+    "linly": Template(_ask("User: ", "\nBot: "), "\n"),
+    "chatglm": Template(_ask("问：", "\n答："), "\n"),
+    "chatglm2": Template(_ask("问：", "\n\n答："), "\n\n"),
+    "chatglm3": Template(_ask(_tag("user") + "\n", _tag("assistant")), "\n", stop=_tag("user")),
+    "phoenix": Template(_ask("Human: <s>", "</s>Assistant: "), "</s>"),
+    "belle": Template(_ask("Human: ", "\n\nBelle: "), "\n\n"),
+    "aquila": Template(_ask("Human: ", "###Assistant:"), "###"),
+    "intern": Template(_ask(_tag("User") + ":", "<eoh>\n" + _tag("Bot") + ":"), "<eoa>\n", stop="<eoa>"),
+    "intern2": Template(_IM, _IM_END + "\n", stop=_IM_END),
+    "starchat": Template(_ask(_tag("user") + "\n", _tag("end") + "\n" + _tag("assistant") + "\n"), _tag("end") + "\n", "<system>\n", _tag("end")),
+    "llama2": Template(_ask("[INST] ", " [/INST]"), "</s>"),
+    "llama2-zh": Template(_ask("[INST] ", " [/INST]"), "</s>"),
+    "llama3": Template(_ask(_header("user"), _tag("eot_id") + _header("assistant")), _tag("eot_id"), stop=_tag("eot_id")),
+    "mistral": Template(_ask("[INST] ", " [/INST]"), "</s>"),
+    "xverse": Template(_ask("Human: ", "\n\nAssistant: "), "</s>"),
+    "chatml": Template(_IM, _IM_END + "\n", "You are a helpful assistant.", _IM_END),
+    "deepseek": Template(_ask("User: ", "\n\nAssistant:"), "</s>"),
+    "deepseek3": Template(_ask(_wide("User"), _wide("Assistant")), "</s>"),
+    "deepseekcoder": Template(_ask("### Instruction:\n", "\n### Response:\n"), "\n", stop=_tag("EOT")),
+    "yi": Template(_IM, "\n", stop=_IM_END),
+    "orion": Template(_ask("Human: ", "\n\nAssistant: </s>"), "</s>"),
+    "cohere": Template(_ask(_START + _tag("USER_TOKEN"), _END + _START + _tag("CHATBOT_TOKEN")), "</s>", "<BOS_TOKEN>"),
+    "qwen": Template(_IM, _IM_END + "\n", _tag("im_start") + "system\nYou are a helpful assistant." + _IM_END + "\n", _IM_END),
+    "qwen3": Template(_IM, _IM_END + "\n", "", _IM_END),
+    "qwen3_nothink": Template(_IM + _NO_THOUGHT, _IM_END + "\n", "", _IM_END),
+    "qwen3_5": Template(_IM, _IM_END + "\n", "", _IM_END),
+    "qwen3_5_nothink": Template(_IM + _NO_THOUGHT, _IM_END + "\n", "", _IM_END),
 }
 
 

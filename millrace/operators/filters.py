@@ -94,7 +94,8 @@ def length_between(c: Column | str, low: int, high: int) -> Column:
 
 def think_answer_format(c: Column | str) -> Column:
     """Whether the text is one think and one answer element, on one line each (a dot doesn't match line ends)."""
-    return col(c).rlike("^<think>.*?</think><answer>.*?</answer>$")
+    element = "<{0}>.*?</{0}>".format
+    return col(c).rlike(f"^{element('think')}{element('answer')}$")
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -22,6 +22,10 @@ def dialect(name: str) -> str:
     return name
 
 
+def _pretty(x: object) -> str:
+    return json.dumps(x, ensure_ascii=False, indent=4)
+
+
 def _plain(tools: list[dict]) -> str:
     out = ["You have access to the following tools:"]
     for t in tools:
@@ -48,8 +52,8 @@ def list_tools(tools: list[dict], name: str = "default", date: str = "", intro:
         return intro + "\n\n# Tools\n\n<tools>" + "".join("\n" + json.dumps(w, ensure_ascii=False) for w in wrapped) + "\n</tools>"
     if name == "llama3":
         head = f"Today Date: {date}\n\n" if date else ""
-        return intro + head + "".join(json.dumps(w, indent=4, ensure_ascii=False) + "\n\n" for w in wrapped)
-    return intro + "".join(f"\n\n## {t['name']}\n\n{json.dumps(t, indent=4, ensure_ascii=False)}" for t in tools)
+        return intro + head + "".join(f"{_pretty(w)}\n\n" for w in wrapped)
+    return intro + "".join(f"\n\n## {t['name']}\n\n{_pretty(t)}" for t in tools)
 
 
 def tools_text(tools_json: Column | str, name: str = "default", date: str = "", intro: str = "") -> Column:

@@ -101,7 +101,7 @@ def chat_pair_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _JSON = """CASE doc_id % 4 WHEN 0 THEN to_json({'question': q, 'answer': lang}) WHEN 1 THEN to_json({'instruction': q, 'input': source, 'output': lang})
-  WHEN 2 THEN to_json({'conversations': [{'from': 'human', 'value': q}, {'from': 'gpt', 'value': lang}]}) ELSE to_json({'messages': [{'role': 'user', 'content': q}, {'role': 'assistant', 'content': lang}]}) END"""
+  WHEN 2 THEN to_json({'conversations': [{'value': q, 'from': 'human'}, {'value': lang, 'from': 'gpt'}]}) ELSE to_json({'messages': [{'role': 'user', 'content': q}, {'role': 'assistant', 'content': lang}]}) END"""
 
 
 @query(f"SELECT doc_id, {Q.norm('substr(text, 1, 100)')} || CASE WHEN doc_id % 4 = 1 THEN chr(10) || source ELSE '' END AS question, lang AS answer FROM documents")

@@ -93,8 +93,11 @@ def candidate_errors(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", C.candidate_pair(q, "text").alias("p")).select("doc_id", "p.question", "p.error")
 
 
-@query("""SELECT doc_id, length(source || text) BETWEEN 1 AND 900 AND length(source || lang) BETWEEN 1 AND 900 AS fits, length(text) BETWEEN 100 AND 1000 AS in_band,
-  regexp_matches('<think>' || lang || '</think><answer>' || CASE WHEN doc_id % 2 = 0 THEN source ELSE text END || '</answer>', '^<think>.*?</think><answer>.*?</answer>$') AS formatted,
+_el = "<{0}>.*?</{0}>".format
+
+
+@query(f"""SELECT doc_id, length(source || text) BETWEEN 1 AND 900 AND length(source || lang) BETWEEN 1 AND 900 AS fits, length(text) BETWEEN 100 AND 1000 AS in_band,
+  regexp_matches('<think>' || lang || '</think><answer>' || CASE WHEN doc_id % 2 = 0 THEN source ELSE text END || '</answer>', '^{_el('think')}{_el('answer')}$') AS formatted,
   doc_id % 3 > 0 AS trainable, length(text) > 0 AND least(length(text), 50) <= 30 AS prompt_fits FROM documents""")
 def row_predicates(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.lit("<think>"), "lang", F.lit("</think><answer>"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.col("text")), F.lit("</answer>"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,7 @@ def write_csv(df: DataFrame, path: str, first: str, overwrite: bool = True) -> N
 
 
 def write_markdown(text: str, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    Path(path).write_text(text, encoding="utf-8")
 
 
 def append_new(df: DataFrame, path: str, key: str = "id") -> int:

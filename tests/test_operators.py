@@ -116,7 +116,7 @@ def test_prefixes_and_messages(spark):
         chat.template("nothing")
 
 
-TOOLS = [{"name": "get_weather", "description": "Weather", "parameters": {"properties": {"city": {"type": "string", "description": "Where", "enum": ["a", "b"]}}, "required": ["city"]}}]
+TOOLS = [{"name": "get_weather", "description": "Weather", "parameters": {"required": ["city"], "properties": {"city": {"enum": ["a", "b"], "description": "Where", "type": "string"}}}}]
 
 
 def test_tools(spark):
