@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 TEMPLATES: tuple[tuple[str, str, float], ...] = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", THRESHOLD),
     ("mit", "Released under the MIT License", 1.0),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses", THRESHOLD),
+    ("apache", "you may not use this file except in compliance with the License", THRESHOLD),
     ("apache", "Licensed under the Apache License, Version 2.0", 1.0),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", THRESHOLD),
     ("gpl", "This work is licensed under the GNU General Public License, version 3", 1.0),

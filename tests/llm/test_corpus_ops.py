@@ -63,7 +63,7 @@ def by_sql(sql, df, name="documents"):
     return names, sorted(out.fetchall(), key=repr)
 
 
-# 1 ------------------------------------------------------------------------------------------------------------------------
+# 1
 
 
 def test_topk_against_brute_force(spark):
@@ -85,7 +85,7 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df, df.limit(0), "vec_id", "embedding").count() == 0
 
 
-# 2 ------------------------------------------------------------------------------------------------------------------------
+# 2
 
 
 def test_urls(spark):
@@ -117,7 +117,7 @@ def test_urls(spark):
     assert sorted(sql, key=repr) == sorted(set(got), key=repr)
 
 
-# 3 ------------------------------------------------------------------------------------------------------------------------
+# 3
 
 
 def slow_fingerprint(text):
@@ -202,7 +202,7 @@ def test_keep_one_leaves_clean_rows(spark, docs):
     assert 8 not in {r["doc_id"] for r in kept.collect()}
 
 
-# 4 ------------------------------------------------------------------------------------------------------------------------
+# 4
 
 
 def slow_scan(text, holders):
@@ -246,7 +246,7 @@ def test_license_scan_against_brute_force(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-# 5 ------------------------------------------------------------------------------------------------------------------------
+# 5
 
 
 def test_quality_on_held_out_rows(spark):
@@ -274,7 +274,7 @@ def test_quality_edges(spark, docs):
     assert quality.Model.fit(docs.limit(0), labels).scored(docs.limit(0)).count() == 0
 
 
-# 6 ------------------------------------------------------------------------------------------------------------------------
+# 6
 
 
 def test_mix_against_sql(spark, docs):
@@ -304,7 +304,7 @@ def test_mix_meets_targets(spark):
     assert mixing.mixed_rows(df).count() == sum(r["copies"] for r in mixing.mix(df).collect())
 
 
-# 7 and 9 ------------------------------------------------------------------------------------------------------------------
+# 7 and 9
 
 
 def direct(name):
@@ -381,7 +381,7 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert binary.read_documents(spark, empty).count() == 0
 
 
-# 8 ------------------------------------------------------------------------------------------------------------------------
+# 8
 
 
 def test_line_dedup_against_sql(spark, docs, tmp_path):
@@ -418,7 +418,7 @@ def test_line_runs_over_batches(spark, tmp_path):
     assert {(bytes(r["key"]), r["owner"]) for names in runs.levels for n in names for r in spark.table(n).collect()} == set(seen.items())
 
 
-# 10 -----------------------------------------------------------------------------------------------------------------------
+# 10
 
 
 def test_exact_dedup_against_sql(spark, docs, tmp_path):
@@ -447,7 +447,7 @@ def test_keep_first_rows(spark, docs, tmp_path):
     assert exact.keep_first(twice, exact.DigestIndex(spark, str(tmp_path / "j"), 3)).count() == 1
 
 
-# pipeline -----------------------------------------------------------------------------------------------------------------
+# pipeline
 
 
 def test_components_of_a_path_and_a_star(spark):
