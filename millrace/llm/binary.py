@@ -78,13 +78,14 @@ class TokenFiles:
 def encoded(docs: DataFrame, path: str, end_id: int, dtype: str, id_col: str, text_col: str, drops_space: bool) -> DataFrame:
     """(doc_id, ids binary)"""
     kind = np.dtype(dtype).type
-    end = np.array([end_id], dtype).tobytes()
+    end = np.array([end_id], dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, kind, drops_space)
         for batch in batches:
-            for piece in slices(batch, most_bytes=1 << 20):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x + end for x in own.encode([t or "" for t in piece.column(1).to_pylist()])], pa.binary())], names=["doc_id", "ids"])
+            for piece in slices(batch, most_bytes=8 << 20):
+                ids = [np.append(x, end).tobytes() for x in own.encode(piece.column(1))]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -120,11 +120,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = MOST
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId(), most, least)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            for piece in slices(batch, most_bytes=1 << 20):
-                for doc_id, ids in zip(piece.column(0).to_pylist(), own.encode([t or "" for t in piece.column(1).to_pylist()])):
-                    packer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            for piece in slices(batch, most_bytes=8 << 20):
+                for doc_id, ids in zip(piece.column(0).to_pylist(), own.encode(piece.column(1))):
+                    packer.add(doc_id, np.append(ids, end))
                 yield packer.flush()
         packer.pack(True)
         yield packer.flush()

@@ -1,42 +1,30 @@
-"""Tokenising with the tokenizers library: exact, with the chunks of a text that recur encoded once per worker.
+"""Tokenising with the tokenizers library: exact, with the pieces of texts that recur encoded once per worker.
 
-No pre-token of the supported tokenizers reaches from a character that is not white space into the white space after it, or from a letter or digit
-into a comma or full stop, so a text may be cut there, and the ids of the whole are those of the pieces in turn. (After any other
-sign commas and full stops are left where they are.) Pieces that a worker hasn't seen are encoded together, separated by a special token whose places
-mark their ends. Texts that hold a special token's string or any other white space go to the library whole.
+A text is cut where the tokenizer's own pre-tokens end whatever stands around: before a space (the byte-level tokenizer keeps it with the word after it), or at any
+ASCII white space for a tokenizer that drops white space and case. The ids of the whole are those of the pieces in turn. Arrow cuts a batch of texts and
+numbers its different pieces, so Python sees each piece once per batch; the ids of all texts are then gathered by numpy.
+
+Pieces that a worker hasn't seen are encoded together, separated by a special token whose places mark their ends; of a piece that ends in a letter or digit
+and a comma or full stop, the sign is encoded apart. Texts that hold the start of a special token's string, and, for the byte-level tokenizer, those with runs of white
+space that a cut would change, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces, and characters of them, that a worker keeps at most; on reaching either it goes back to the first ones it met, which are the most common.
 MOST_PIECES, MOST_CHARS, FIRST_PIECES = 1_000_000, 20_000_000, 400_000
 LONG_PIECE = 64
 SPECIAL = "<|endoftext|>"
-coarse = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-fine = re.compile(r"[ \n]*[^ \n,.]+|[,.][^ \n,.]*|[ \n]+").findall
-bare = re.compile(r"[^ \n,.]+|[,.][^ \n,.]*").findall  # without white space
-loose = re.compile(r"[,.](?<![^\W_][,.])").search  # a comma or full stop that follows no letter or digit
-beyond_latin = re.compile("[^\x00-\u017f]").search
-
-
-def pieces_of(text: str) -> list[str]:
-    return coarse(text) if loose(text) else fine(text)
-
-
-def bare_pieces_of(text: str) -> list[str]:
-    """For tokenizers that drop white space and case; lower case of Latin letters is the same in Python and in the library."""
-    text = text if beyond_latin(text) else text.lower()
-    return text.split() if loose(text) else bare(text)
-
-
-odd_space = re.compile(r"[^\S \n]").search
+#: Three spaces or line feeds in a row, two at the end, or any other white space.
+UNEVEN = r"[ \n]{3}|[ \n]{2}$|[\t\r\f\v\x1c-\x1f\x{85}\p{Zl}\p{Zp}]|[^ \P{Zs}]"
 
 
 class Encoder:
@@ -48,45 +36,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(SPECIAL)
-        self.dtype = dtype
-        self.known: dict[str, bytes] = {}
+        self.dtype, self.drops_space = dtype, drops_space
+        self.known: dict[str, bytes] = {"": b""}
         self.chars = 0
-        self.pieces = bare_pieces_of if drops_space else pieces_of
+        self.signs = {s: self.whole(s) for s in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 1000):
-            part = pieces[i : i + 1000]
+        """Adds pieces without a special token's string to ``known``."""
+        known, width = self.known, self.dtype().itemsize
+        parted = [p for p in pieces if p[-1] in ",." and len(p) > 1 and p[-2].isascii() and p[-2].isalnum()]
+        apart = set(parted)
+        bases = {p[:-1] for p in parted}.difference(known)
+        todo = [*bases, *(p for p in pieces if p not in apart and p not in bases)]
+        for i in range(0, len(todo), 1000):
+            part = todo[i : i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([SPECIAL.join(part) + SPECIAL], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(ids == self.mark).tolist()
             if len(ends) != len(part):
                 raise ValueError("a piece holds the mark")
-            self.chars += sum(map(len, part))
-            packed, width, start = ids.tobytes(), self.dtype().itemsize, 0
+            packed, start = ids.tobytes(), 0
             for piece, end in zip(part, ends):
-                self.known[piece] = packed[start * width : end * width]
+                known[piece] = packed[start * width : end * width]
                 start = end + 1
+        for p in parted:
+            known[p] = known[p[:-1]] + self.signs[p[-1]]
+        self.chars += sum(map(len, pieces))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, packed. The result doesn't depend on what else was encoded before."""
-        if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
-            self.known = {p: ids for p, ids in islice(self.known.items(), FIRST_PIECES) if len(p) <= LONG_PIECE}
-            self.chars = sum(map(len, self.known))
-        cut = [None if "<|" in t or odd_space(t) else self.pieces(t) for t in texts]
-        known = self.known
-        found = [None if c is None else list(map(known.get, c)) for c in cut]
-        new = {p for c, ids in zip(cut, found) if c is not None and None in ids for p, x in zip(c, ids) if x is None}
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        new = [p for p, x in zip(pieces, found) if x is None]
         if new:
-            self.learn(list(new))
-        out = []
-        for text, c, ids in zip(texts, cut, found):
-            if c is None:
-                out.append(self.whole(text))
-            else:
-                out.append(b"".join([known[p] for p in c] if None in ids else ids))
-        return out
+            if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
+                self.known = {p: ids for p, ids in islice(self.known.items(), FIRST_PIECES) if len(p) <= LONG_PIECE}
+                self.chars = sum(map(len, self.known))
+            self.learn(list(dict.fromkeys(new)))
+            found = [self.known[p] if x is None else x for p, x in zip(pieces, found)]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids; a null text has none. The result doesn't depend on what else was encoded before."""
+        texts = texts.cast(pa.string()).fill_null("")
+        apart = pc.match_substring(texts, "<|")
+        if not self.drops_space:
+            apart = pc.or_(apart, pc.match_substring_regex(texts, UNEVEN))
+        cut = pc.if_else(apart, "", texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(cut)) if self.drops_space else pc.split_pattern(cut, " ")
+        flat, limits = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        limits = limits - limits[0]
+        named = flat.dictionary_encode()
+        unique, at = named.dictionary.to_pylist(), named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if not self.drops_space:  # all pieces but a text's first have a space before them
+            firsts = [unique[i] for i in at[limits[:-1]]] if len(at) else []
+            at[limits[:-1]] = len(unique) + np.arange(len(firsts))
+            unique = [" " + p for p in unique] + firsts
+        ids = self.ids_of(unique)
+        width = self.dtype().itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        starts = np.cumsum(sizes) - sizes
+        store = np.frombuffer(b"".join(ids), self.dtype)
+        n = sizes[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = store[np.repeat(starts[at] - (ends - n), n) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[limits]
+        whole = {i: np.frombuffer(self.whole(texts[i].as_py()), self.dtype) for i in pc.indices_nonzero(apart).to_pylist()}
+        return [whole[i] if i in whole else out[a:b] for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))]
 
 
 @lru_cache(maxsize=2)
