@@ -80,16 +80,23 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact(a) @ exact(b).T, -EDGE, EDGE).astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query the (ids, scores) of its k best candidates, by score downwards and then id upwards."""
-    for q in range(len(own)):
-        s, keep = scores[q], ids != own[q]
-        if keep.sum() > 4 * k:
-            at = np.partition(s[keep], keep.sum() - k)[keep.sum() - k]
-            keep &= s >= at  # every tie of the k-th score is still there
-        at = np.flatnonzero(keep)
-        at = at[np.lexsort((ids[at], -s[at]))[:k]]
-        yield ids[at], s[at]
+def best(row: np.ndarray, less: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries (query, negated score, id) the first k of each query, by score downwards and then id upwards."""
+    order = np.lexsort((ids, less, row))
+    row, less, ids = row[order], less[order], ids[order]
+    first = np.searchsorted(row, row)  # where the query's entries begin
+    keep = np.arange(len(row)) - first < k
+    return row[keep], less[keep], ids[keep]
+
+
+def selected(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of a tile that may be among the k best of their query: its k highest scores with all ties of the last."""
+    other = ids[None, :] != own[:, None]
+    if scores.shape[1] > k + 1:
+        at = scores.shape[1] - k - 1  # one more, as a query's own row may be among them
+        other &= scores >= np.partition(scores, at, axis=1)[:, at][:, None]
+    row, col = np.nonzero(other)
+    return best(row, -scores[row, col], ids[col], k)
 
 
 def search(queries: DataFrame, candidates: DataFrame, id_col: str, vec_col: str, k: int = 20, scale: float = 64.0, block_tiles: int = 8, shard_tiles: int = 32, fan_in: int = 16, tile: int = TILE) -> DataFrame:
@@ -112,20 +119,18 @@ def search(queries: DataFrame, candidates: DataFrame, id_col: str, vec_col: str,
         out: dict[str, list] = {"query": [], "query_id": [], "shard": [], "top": []}
         shard_rows = rows(b)
         for qtile, q_ids, q_rows in rows(a):
-            lists: list[list] = [[] for _ in q_ids]
+            kept = tuple(np.empty(0, np.int64) for _ in range(3))
             for _, c_ids, c_rows in shard_rows:
-                if c_rows.shape[1] != q_rows.shape[1]:
-                    continue
-                for i, (ids, scores) in enumerate(best(product(q_rows, c_rows), c_ids, q_ids, k)):
-                    lists[i] += zip((-scores).tolist(), ids.tolist())
-                    if len(lists[i]) > 8 * k:
-                        lists[i] = sorted(lists[i])[:k]
-            for i, found in enumerate(lists):
-                if found:
-                    out["query"].append(qtile * tile + i)
-                    out["query_id"].append(int(q_ids[i]))
-                    out["shard"].append(shard)
-                    out["top"].append([{"less": s, "vec_id": v} for s, v in sorted(found)[:k]])
+                if c_rows.shape[1] == q_rows.shape[1]:
+                    found = selected(product(q_rows, c_rows), c_ids, q_ids, k)
+                    kept = best(*(np.concatenate(x) for x in zip(kept, found)), k)
+            starts = np.flatnonzero(np.r_[True, kept[0][1:] != kept[0][:-1]]) if len(kept[0]) else np.empty(0, np.int64)
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(kept[0])]):
+                i = int(kept[0][start])
+                out["query"].append(qtile * tile + i)
+                out["query_id"].append(int(q_ids[i]))
+                out["shard"].append(shard)
+                out["top"].append([{"less": x, "vec_id": v} for x, v in zip(kept[1][start:end].tolist(), kept[2][start:end].tolist())])
         return pa.Table.from_pydict(out, schema=pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("shard", pa.int64()), ("top", pa.list_(pa.struct([("less", pa.int64()), ("vec_id", pa.int64())])))]))
 
     lists = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(cell, "query long, query_id long, shard long, top array<struct<less:long,vec_id:long>>")
