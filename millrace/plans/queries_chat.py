@@ -267,3 +267,14 @@ def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
 def generate_stub(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in for a model."""
     return M.generate(docs(spark, sf).select("doc_id", "lang"), "lang", lambda ps: [p.upper() for p in ps]).drop("lang")
+
+
+_COUNT = lambda x: f"len(list_filter(string_split({Q.norm(x)}, ' '), lambda w: w <> ''))"
+
+
+@query(f"SELECT doc_id, {_COUNT('source || chr(32) || text')} AS chosen, {_COUNT('source || chr(32) || lang')} AS rejected, {_COUNT('source || chr(32) || text')} BETWEEN 1 AND 400 AS fits FROM documents", "chosen rejected")
+def preference_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    p = M.preference_ids(F.concat("source", F.lit(" ")), "text", "lang")
+    d = docs(spark, sf).select("doc_id", p.alias("p"))
+    fits = C.preference_tokens_fit("p.input_ids_chosen", "p.input_ids_rejected", 400)
+    return d.select("doc_id", F.aggregate("p.attention_mask_chosen", F.lit(0), lambda a, x: a + x).alias("chosen"), F.size("p.input_ids_rejected").alias("rejected"), fits.alias("fits"))

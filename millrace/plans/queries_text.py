@@ -337,3 +337,32 @@ def gram_intersection(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "benchmark").select("item_id", S.char_ngrams("text").alias("g"))
     h = g.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h"))
     return g.join(h, "item_id").select("item_id", F.size(F.array_intersect("g", "h")).alias("shared"))
+
+
+_KINDS = "CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' WHEN 2 THEN CAST(event_id AS VARCHAR) WHEN 3 THEN 'true' WHEN 4 THEN '\"' || event_type || '\"' ELSE '{' || props END"
+
+
+@query(f"""SELECT event_id, CASE WHEN NOT json_valid(v) THEN 'invalid' ELSE CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END END AS kind
+  FROM (SELECT event_id, {_KINDS} AS v FROM events)""")
+def json_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.readers import json_kind
+
+    return table(spark, sf, "events").select("event_id", json_kind(F.expr(_KINDS.replace("VARCHAR", "STRING"))).alias("kind"))
+
+
+@query(f"""WITH a AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8),
+  d AS (SELECT anchor, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY cosine DESC, vec_id) AS rank FROM (SELECT a.vec_id, b.vec_id AS anchor, round({_COS}, 6) AS cosine FROM embeddings a JOIN a b ON a.vec_id <> b.vec_id)) WHERE rank <= 10),
+  s AS (SELECT b.vec_id AS anchor, e.vec_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY e.vec_id) AS rank FROM embeddings e JOIN a b ON e.label = b.label AND e.vec_id <> b.vec_id),
+  m AS (SELECT anchor, vec_id, sum(w) AS score FROM (SELECT anchor, vec_id, 0.5::DOUBLE / (rank + 60) AS w FROM d UNION ALL SELECT anchor, vec_id, 0.5::DOUBLE / (rank + 60) FROM s WHERE rank <= 10) GROUP BY anchor, vec_id)
+  SELECT anchor, vec_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, vec_id) AS rank FROM m) WHERE rank <= 5""".replace("JOIN a b ON", "JOIN a AS b ON").replace("FROM embeddings a JOIN a AS b", "FROM embeddings AS a JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8) AS b"), "rank")
+def ensemble_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by cosine and neighbours of the same label, merged by rank."""
+    from ..operators.select import top_per_group
+
+    matrix, names = anchors(spark, sf)
+    e = table(spark, sf, "embeddings")
+    dense = S.cosine_to_queries(e, "vec_id", "embedding", matrix, names).withColumnRenamed("query", "anchor").where("vec_id <> anchor").withColumn("cosine", F.round("cosine", 6))
+    dense = top_per_group(dense, ["anchor"], 10, F.col("cosine").desc(), F.col("vec_id"))
+    few = F.broadcast(e.orderBy("vec_id").limit(8).select(F.col("vec_id").alias("anchor"), "label"))
+    same = top_per_group(e.join(few, "label").where("vec_id <> anchor"), ["anchor"], 10, F.col("vec_id"))
+    return S.ensemble(dense, same, "anchor", "vec_id").withColumn("score", F.round("score", 9))

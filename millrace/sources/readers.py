@@ -166,3 +166,14 @@ def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
+
+
+def json_kind(value: Column | str) -> Column:
+    """object, array, string, number, boolean, null or invalid."""
+    v = col(value)
+    name = F.schema_of_variant(F.try_parse_json(v))
+    kinds = (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null"))
+    out = F.when(line_status(v) != "ok", "invalid")
+    for prefix, kind in kinds:
+        out = out.when(F.startswith(name, F.lit(prefix)), kind)
+    return out.otherwise("number")
