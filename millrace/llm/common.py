@@ -76,8 +76,7 @@ def per_row(fn: Callable[[list, list], dict], schema: pa.Schema) -> Callable[[It
 
 def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of a slice take about ``most_bytes``; a longer text has its own slice."""
-    lengths = batch.column(column).cast(pa.large_binary())
-    lengths = pa.compute.binary_length(lengths).fill_null(0).to_pylist()
+    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
         if held and held + n > most_bytes:

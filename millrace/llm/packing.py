@@ -122,10 +122,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = MOST
         packer = Packer(TaskContext.get().partitionId(), most, least)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for piece in slices(batch, most_bytes=8 << 20):
+            for piece in slices(batch):
                 for doc_id, ids in zip(piece.column(0).to_pylist(), own.encode(piece.column(1))):
                     packer.add(doc_id, np.append(ids, end))
                 yield packer.flush()
+            pa.default_memory_pool().release_unused()
         packer.pack(True)
         yield packer.flush()
 

@@ -33,7 +33,7 @@ REPEAT = BUCKETS  # the row of repeated words
 GRAMS = (3, 4)
 DIM, EPOCHS, RATE = 8, 12, 0.2
 MOST_LABELLED = 2000
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
 SEED = 5
 
 
