@@ -91,9 +91,8 @@ def best_by(df: DataFrame, value: str, order: str, columns: Sequence[str], highe
 
 
 def coverage(pool: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    have = found.agg(F.count_distinct(key).alias("unique_ids"))
-    n = pool.agg(F.count("*").alias("pool"))
-    return have.crossJoin(n).select("unique_ids", "pool", (F.col("unique_ids") / F.greatest(F.lit(1), F.col("pool"))).alias("coverage"))  # two rows of totals
+    n = F.lit(pool.count()).cast("long")
+    return found.agg(F.count_distinct(key).alias("unique_ids")).select("unique_ids", n.alias("pool"), (F.col("unique_ids") / F.greatest(F.lit(1), n)).alias("coverage"))
 
 
 def key_census(df: DataFrame, json: str, top: int = 20) -> DataFrame:

@@ -174,12 +174,11 @@ def bm25(docs: DataFrame, doc_id: str, doc_words: str, queries: DataFrame, query
     """(query_id, doc_id, bm25) by Okapi's formula over arrays of words; only words of the queries are counted."""
     q = queries.select(query_id, F.explode(F.array_distinct(query_words)).alias("word"))
     wanted = q.select("word").distinct()
-    sizes = docs.select(doc_id, F.size(doc_words).alias("n"))
-    told = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    count, mean = docs.agg(F.count("*"), F.avg(F.size(doc_words))).first()
     tf = docs.select(doc_id, F.size(doc_words).alias("n"), F.explode(doc_words).alias("word")).join(wanted, "word", "left_semi").groupBy(doc_id, "n", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(told)).select("word", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # ``told`` is one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    idf = df.select("word", F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean or 1.0)))
     return tf.join(idf, "word").join(q, "word").select(query_id, doc_id, part.alias("part")).groupBy(query_id, doc_id).agg(F.sum("part").alias("bm25"))
 
 
