@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, slices, tidy
 from .tokens import default_path, encoder
 
 END_ID = 1
@@ -126,9 +126,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = MOST
                 for doc_id, ids in zip(piece.column(0).to_pylist(), own.encode(piece.column(1))):
                     packer.add(doc_id, np.append(ids, end))
                 yield packer.flush()
-            pa.default_memory_pool().release_unused()
         packer.pack(True)
         yield packer.flush()
+        del packer
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, slices
+from .common import cut, documents, slices, tidy
 
 BUCKETS = 1 << 15
 REPEAT = BUCKETS  # the row of repeated words
@@ -157,6 +157,8 @@ class Model:
                 for piece in slices(batch):
                     texts = [t.as_py() or b"" for t in piece.column(1).cast(pa.large_binary())]
                     yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.score(texts, table), pa.float64())], names=["doc_id", "score"])
+            table.clear()
+            tidy()
 
         found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
         return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -171,6 +173,8 @@ class Model:
                 for piece in slices(batch, at):
                     texts = [t.as_py() or b"" for t in piece.column(at).cast(pa.large_binary())]
                     yield piece.filter(pa.array([s >= 0.5 for s in model.score(texts, table)], pa.bool_()))
+            table.clear()
+            tidy()
 
         return docs.mapInArrow(run, docs.schema)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, small_or_plain, slices
+from .common import components, cut, documents, slices, small_or_plain, tidy
 
 SEED = 42
 FANOUT = 16
@@ -88,6 +88,7 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str =
                 texts = piece.column(1).cast(pa.large_binary())
                 fps = [b"".join(w.to_bytes(8, "big") for w in reversed(fingerprint(t.as_py() or b"", words, bits))) for t in texts]
                 yield pa.RecordBatch.from_pydict({"doc_id": piece.column(0), "fp": fps}, schema=schema)
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
 

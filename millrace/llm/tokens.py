@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces, and characters of them, that a worker keeps at most; on reaching either it goes back to the first ones it met, which are the most common.
-MOST_PIECES, MOST_CHARS, FIRST_PIECES = 600_000, 12_000_000, 300_000
+MOST_PIECES, MOST_CHARS, FIRST_PIECES = 500_000, 10_000_000, 250_000
 LONG_PIECE = 64
 SPECIAL = "<|endoftext|>"
 #: Three spaces or line feeds in a row, two at the end, or any other white space.
