@@ -86,7 +86,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, dtype: str, id_col: str, te
             for piece in slices(batch):
                 ids = [np.append(x, end).tobytes() for x in own.encode(piece.column(1))]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-        tidy()
+            tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -126,6 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = MOST
                 for doc_id, ids in zip(piece.column(0).to_pylist(), own.encode(piece.column(1))):
                     packer.add(doc_id, np.append(ids, end))
                 yield packer.flush()
+            tidy()
         packer.pack(True)
         yield packer.flush()
         del packer
