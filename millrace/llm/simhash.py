@@ -55,25 +55,33 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: bytes, words: int = 3, bits: int = 64) -> list[int]:
-    """The fingerprint's 64-bit words, as unsigned integers."""
+def shingles(text: bytes, words: int) -> list[bytes]:
+    """Every ``words`` consecutive words, repeats included."""
     found = text.lower().split()  # bytes: A-Z only, ASCII white space only
     if not found:
-        return [0] * (bits // 64)
+        return []
     line = b" ".join(found)
     if len(found) <= words:
-        shingles = [line]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        shingles = [line[a:b] for a, b in zip((ends - lengths)[: 1 - words].tolist(), ends[words - 1 :].tolist())] if words > 1 else found
+        return [line]
+    if words == 1:
+        return found
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    return [line[a:b] for a, b in zip((ends - lengths)[: 1 - words].tolist(), ends[words - 1 :].tolist())]
+
+
+def fingerprint(text: bytes, words: int = 3, bits: int = 64) -> list[int]:
+    """The fingerprint's 64-bit words, as unsigned integers."""
+    found = shingles(text, words)
+    if not found:
+        return [0] * (bits // 64)
     if bits == 64:
         digest = xxhash.xxh64_intdigest
-        return [majority(np.fromiter([digest(s, SEED) for s in shingles], np.uint64, len(shingles)))]
+        return [majority(np.fromiter([digest(s, SEED) for s in found], np.uint64, len(found)))]
     wide = xxhash.xxh3_128_digest
     out = []
     for seed in range(SEED, SEED + bits // 128):
-        both = np.frombuffer(b"".join([wide(s, seed) for s in shingles]), "<u8").reshape(-1, 2)
+        both = np.frombuffer(b"".join([wide(s, seed) for s in found]), "<u8").reshape(-1, 2)
         out += [majority(both[:, 0].copy()), majority(both[:, 1].copy())]
     return out
 
@@ -304,20 +312,16 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, d: int = 2, mas
     return groups(cut(fingerprints(docs, words, bits, id_col, text_col)), bits, d, masks or pigeonhole(range(bits), d))
 
 
-#: Two texts whose sets of shingles overlap by 0.8 (Jaccard) make an angle whose cosine is about 0.89, or 15.2 % of the bits. The share measured over 256
-#: bits has a standard error of 2.2 %; 44 bits (17.2 %) leave room for it, so that copies just above 0.8 are found, at the price of some just below.
-WIDE_BITS, WIDE_DIFFERENCES, WIDE_SAMPLE, WIDE_TABLES = 256, 44, 16, 40
-
-
-def keep_one(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS, d: int = WIDE_DIFFERENCES, sample: int = WIDE_SAMPLE, tables: int = WIDE_TABLES) -> DataFrame:
-    """``docs`` without the near copies of a document with a smaller doc_id, all columns kept.
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` without the near copies (``similar``: shingle sets that overlap by 0.8 or more) of a document with a smaller doc_id, all columns kept.
 
     Texts without any word aren't near copies of each other here: they stay (exact dedup takes them). Rows whose doc_id is null
     stay as well, as nothing could name them.
     """
+    from .similar import near_copies
+
     worded = docs.where(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")))
-    found = near_groups(worded, words, bits, d, sampled_masks(bits, sample, tables))
-    losers = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__loser")).distinct())
+    losers = cut(near_copies(worded, words).select(F.col("doc_id").alias("__loser")))
     return docs.join(small_or_plain(losers), F.col("doc_id") == F.col("__loser"), "left_anti")
 
 

@@ -203,6 +203,37 @@ def test_keep_one_leaves_clean_rows(spark, docs):
     assert 8 not in {r["doc_id"] for r in kept.collect()}
 
 
+def slow_losers(rows):
+    """doc_ids linked to a smaller one by five-word shingle sets that overlap by 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    top = list(range(len(rows)))
+    for _ in range(len(rows)):
+        before = list(top)
+        for i in range(len(rows)):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    top[i] = top[j] = min(top[i], top[j])
+        if top == before:
+            break
+    return {rows[i][0] for i in range(len(rows)) if rows[i][0] != rows[top[i]][0]}
+
+
+def test_keep_one_loses_no_text_below_the_threshold(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for k in range(40):  # different texts around a long shared passage
+        shared, more = [word() for _ in range(300)], 30 + k
+        rows += [(len(rows) + i, " ".join([*(word() for _ in range(more)), *shared, *(word() for _ in range(more // 2))])) for i in (0, 1)]
+    loop = " ".join([word()] * 400)  # one shingle outweighs the rest
+    rows += [(len(rows) + i, loop + " " + " ".join(word() for _ in range(20))) for i in range(4)]
+    left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert slow_losers(rows) == set() and left == {i for i, _ in rows}
+
+
 # 4
 
 
