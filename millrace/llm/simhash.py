@@ -12,8 +12,7 @@ with all entries of a node against the index of the same node: the differences f
 lower bound for its whole group, so groups beyond the threshold are pruned unopened.
 
 Masks: with ``pigeonhole(bits, d)`` the masks are d + 1 disjoint blocks, and two fingerprints at most d bits apart agree in one
-of them, so no link is lost. For wide thresholds, where blocks would be too short to tell anything apart, ``sampled_masks`` takes
-bit samples instead; its recall is measured in the tests. A node of more than ``HOT`` entries is split by a second
+of them, so no link is lost. A node of more than ``HOT`` entries is split by a second
 pigeonhole of the free bits, which loses no link either.
 
 A node emits a spanning forest of its links, never all pairs (one of at most ``FANOUT`` entries is a leaf: it is scanned and
@@ -216,11 +215,6 @@ def pigeonhole(positions: Sequence[int], d: int) -> list[list[int]]:
     return [b.tolist() for b in np.array_split(np.array(positions), d + 1)]
 
 
-def sampled_masks(bits: int, size: int, tables: int, seed: int = 7) -> list[list[int]]:
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, size, replace=False).tolist()) for _ in range(tables)]
-
-
 def keyed(masks: list[list[int]]):
     """``mapInArrow`` function: every (id, fp, node) once per mask, under a key of the mask, its pattern and the node so far."""
 

@@ -6,25 +6,33 @@ Candidates: the values are put in one global order, those that are frequent in a
 first n - ceil(t * n) + 1 of each (prefix filter), whatever the order is, so the sample bears on speed only and no pair is missed. Sets whose
 sizes differ too much are left out (length filter), as are pairs that share so few prefix values that the rest can't make up for it.
 
+The sets lie in flat files in the shared folder, one per task attempt, and an entry's id tells its file and place, so that only prefix values are shuffled.
+
 Links: each candidate pair's whole sets are compared, in integers. A value that very many different sets hold in their prefix makes as many pairs as they form.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, small_or_plain, tidy, written
+from .common import components, cut, fresh_dir, slices, small_or_plain, tidy, written
 from .simhash import SEED, shingles
 
 #: One row of so many is looked at for frequent values; held by so many rows there, a value is frequent; at most so many are told apart.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 200_000
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 1000
+#: An id holds the place in its lower bits.
+PLACE_BITS, MOST_OPEN = 36, 200
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -34,31 +42,62 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter([digest(s, SEED) for s in found], np.uint64, len(found)))
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id long, digest binary, shingles binary, id long) of (doc_id, text): a digest of the set, its values, and an id of the row; kept in the shared folder."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
+class Sets:
+    """Sets in flat files of a folder that all executors share; an id is the task attempt that wrote the set and the place in its file."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.files: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def read(self, at: int, n: int) -> np.ndarray:
+        attempt, place = at >> PLACE_BITS, at & ((1 << PLACE_BITS) - 1)
+        if attempt not in self.files:
+            if len(self.files) >= MOST_OPEN:
+                self.files.popitem(last=False)
+            self.files[attempt] = np.memmap(f"{self.folder}/{attempt}.u64", np.uint64, "r")
+        self.files.move_to_end(attempt)
+        return np.asarray(self.files[attempt][place : place + n])
+
+
+def shingle_sets(docs: DataFrame, words: int, folder: str) -> DataFrame:
+    """(doc_id long, digest binary, id long, n int) of (doc_id, text): a digest of the row's set, where the set lies in the folder, and its size."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("id", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch):
-                sets = [shingle_set(t.as_py() or b"", words).tobytes() for t in piece.column(1).cast(pa.large_binary())]
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column(0), "digest": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets}, schema=schema)
+        os.makedirs(folder, exist_ok=True)
+        attempt = TaskContext.get().taskAttemptId()
+        place = 0
+        with open(f"{folder}/{attempt}.u64", "wb") as f:
+            for batch in batches:
+                for piece in slices(batch):
+                    digests, ids, sizes = [], [], []
+                    for t in piece.column(1).cast(pa.large_binary()):
+                        values = shingle_set(t.as_py() or b"", words)
+                        f.write(values)
+                        digests.append(xxhash.xxh3_128_digest(values))
+                        ids.append(attempt << PLACE_BITS | place)
+                        sizes.append(len(values))
+                        place += len(values)
+                    f.flush()
+                    yield pa.RecordBatch.from_pydict({"doc_id": piece.column(0), "digest": digests, "id": ids, "n": sizes}, schema=schema)
         tidy()
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, shingles binary")
-    return written(made.withColumn("id", F.monotonically_increasing_id()), "shingles")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, id long, n int")
+    return written(made, "shingles")
 
 
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(sets: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Values that many rows of a sample hold, in order, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Sets(folder)
         for batch in batches:
-            if batch.num_rows:
-                values, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = [held.read(*x) for x in zip(*(c.to_pylist() for c in batch.slice(k, ROWS_AT_ONCE).columns))]
+                values, n = np.unique(np.concatenate(part).view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"value": values, "n": n})
 
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("shingles").mapInArrow(run, "value long, n long")
+    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "n").mapInArrow(run, "value long, n long")
     found = sample.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).collect()
     values, n = np.array([r["value"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
     order = np.argsort(values)
@@ -76,17 +115,16 @@ def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.nda
     return values[:many]
 
 
-def prefixes(common: np.ndarray, counts: np.ndarray):
-    """``mapInArrow`` function from (id, shingles) to (value, id, n) for each value of the prefix; n: the set's size."""
+def prefixes(common: np.ndarray, counts: np.ndarray, folder: str):
+    """``mapInArrow`` function from (id, n) to (value, id, n) for each value of the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Sets(folder)
         for batch in batches:
-            for piece in slices(batch):
-                ids = piece.column(0).to_numpy()
-                sets = [np.frombuffer(s, np.uint64) for s in piece.column(1).to_pylist()]
-                first = [prefix(s, common, counts) for s in sets]
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                ids, n = (c.to_numpy() for c in batch.slice(k, ROWS_AT_ONCE).columns)
+                first = [prefix(held.read(*x), common, counts) for x in zip(ids.tolist(), n.tolist())]
                 times = [len(p) for p in first]
-                n = np.array([len(s) for s in sets], np.int32)
                 yield pa.RecordBatch.from_pydict({"value": np.concatenate(first).view(np.int64), "id": np.repeat(ids, times), "n": np.repeat(n, times)})
         tidy()
 
@@ -125,40 +163,41 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, b, values of a, values of b) to the (a, b) whose similarity is at least 4/5."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-    tidy()
+def similar(folder: str):
+    """``mapInArrow`` function from (a, b, n_a, n_b) to the (a, b) whose similarity is at least 4/5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Sets(folder)
+        for batch in batches:
+            keep = []
+            for a, b, n_a, n_b in zip(*(c.to_pylist() for c in batch.columns)):
+                both = np.sort(np.concatenate([held.read(a, n_a), held.read(b, n_b)]), kind="stable")
+                keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        tidy()
+
+    return run
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b) of every two of the different sets (id long, shingles binary) whose similarity is at least 4/5."""
-    rows = sets.select("id", "shingles").mapInArrow(prefixes(*frequent(sets)), "value long, id long, n int")
+def links(sets: DataFrame, folder: str) -> DataFrame:
+    """(a, b) of every two of the different sets (id long, n int) whose similarity is at least 4/5."""
+    rows = sets.select("id", "n").mapInArrow(prefixes(*frequent(sets, folder), folder), "value long, id long, n int")
     met = rows.repartition("value").sortWithinPartitions("value").mapInArrow(pairs, "a long, b long, n_a int, n_b int")
     met = met.groupBy("a", "b", "n_a", "n_b").count()
     # what both hold is in both prefixes, or beyond the prefix that ends first
     enough = F.expr("9 * (count + (4 * greatest(n_a, n_b) + 4) div 5 - 1) >= 4 * (n_a + n_b)")
-    candidates = cut(met.where(enough).select("a", "b"))
-    of_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")).join(small_or_plain(candidates), "a")
-    wanted = cut(candidates.select("b").distinct())
-    of_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")).join(small_or_plain(wanted), "b", "left_semi")
-    return of_a.join(of_b, "b").select("a", "b", "s_a", "s_b").mapInArrow(similar, "a long, b long")
+    return met.where(enough).select("a", "b", "n_a", "n_b").mapInArrow(similar(folder), "a long, b long")
 
 
 def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id) of the rows of (doc_id, text) that are linked, directly or through others, to one with a smaller doc_id."""
-    rows = shingle_sets(docs, words)
-    entries = cut(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    again = entries.where("n > 1").select("digest", F.col("id").alias("entry"))
-    repeats = cut(rows.select("id", "digest").join(small_or_plain(again), "digest").where("id <> entry").select("id"))
-    found = components(links(rows.select("id", "shingles").join(small_or_plain(repeats), "id", "left_anti")))
-    told = entries.join(found.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "id"))
+    folder = fresh_dir(docs.sparkSession, "sets").removeprefix("file:")
+    folder = "/" + folder.lstrip("/")
+    rows = shingle_sets(docs, words, folder)
+    entries = cut(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count("*").alias("rows")))
+    found = components(links(entries, folder))
+    shutil.rmtree(folder, ignore_errors=True)  # the components are cut
+    told = entries.join(found.withColumnRenamed("node", "id"), "id", "left").where("rows > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "id"))
     told = cut(told.select("digest", "label", "first"))
     least = told.groupBy("label").agg(F.min("first").alias("least"))
     named = cut(told.join(least, "label").select("digest", "least"))

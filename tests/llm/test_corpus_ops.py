@@ -234,6 +234,24 @@ def test_keep_one_loses_no_text_below_the_threshold(spark):
     assert slow_losers(rows) == set() and left == {i for i, _ in rows}
 
 
+def test_keep_one_misses_no_pair_at_the_threshold(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for k in range(120):  # n + n - overlap: 8 of 10 parts at the least, one shingle more or less
+        parts = rng.randrange(3, 30)
+        shared, off = [word() for _ in range(8 * parts + 4)], k % 3 - 1
+        rows += [(len(rows), " ".join([*(word() for _ in range(parts)), *shared])), (len(rows) + 1, " ".join([*shared, *(word() for _ in range(parts + off))]))]
+    base = [word() for _ in range(200)]  # a chain, whose ends are too far apart, and a frequent passage
+    rows += [(len(rows) + i, " ".join(base[8 * i : 8 * i + 150])) for i in range(7)]
+    rows += [(len(rows) + i, " ".join([*base[:60], *(word() for _ in range(8 + i % 9))])) for i in range(90)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[0] % 7)
+    left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    lost = slow_losers(sorted(rows))
+    assert len(lost) > 80 and left == {i for i, _ in rows} - lost
+
+
 # 4
 
 
