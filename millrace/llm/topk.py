@@ -92,9 +92,10 @@ def best(row: np.ndarray, less: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
 def selected(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries of a tile that may be among the k best of their query: its k highest scores with all ties of the last."""
     other = ids[None, :] != own[:, None]
-    if scores.shape[1] > k + 1:
-        at = scores.shape[1] - k - 1  # one more, as a query's own row may be among them
-        other &= scores >= np.partition(scores, at, axis=1)[:, at][:, None]
+    if scores.shape[1] > k:
+        at = scores.shape[1] - k
+        rest = np.where(other, scores, np.iinfo(np.int64).min)  # however many rows of its own a query has, none takes a place
+        other &= scores >= np.partition(rest, at, axis=1)[:, at][:, None]
     row, col = np.nonzero(other)
     return best(row, -scores[row, col], ids[col], k)
 

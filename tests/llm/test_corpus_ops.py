@@ -86,6 +86,13 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df, df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_selection_passes_over_every_own_row():
+    scores = np.arange(30, dtype=np.int64)[None, :]
+    ids = np.array([*range(100, 127), 7, 7, 7])  # the query's id three times, with the highest scores
+    row, less, found = topk.selected(scores, ids, np.array([7]), 20)
+    assert found.tolist() == list(range(126, 106, -1)) and (-less).tolist() == list(range(26, 6, -1))
+
+
 # 2
 
 
