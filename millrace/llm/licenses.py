@@ -1,14 +1,13 @@
 """License scans: an exact set-similarity join between text blocks and license templates, by containment.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A template of w words is compared with the
-blocks of a text: windows of 2 * w words, one every w words, so that any w + 1 consecutive words lie in one of them. A block is found if it
+blocks of a text: every window of 2 * w words, wherever it starts (a shorter text is one block). A block is found if it
 holds at least ``ceil(threshold * size)`` of the template's different words (``size`` of them).
 
 No block that is to be found is missed, and few are looked at: the templates' words are put in one global order, the rarest in the corpus
 first, by the number of documents that hold each. Of a template's words in that order, the first ``size - needed + 1`` are its
-prefix; a found block must hold one of them (prefix filter), so only blocks around such words are candidates. A block with fewer different words
-than needed is skipped (length filter), and the comparison of the ordered words ends as soon as the words left can't make
-up for what is missing (positional filter).
+prefix; a found block must hold one of them (prefix filter), so only windows over such words are candidates. There the window slides word by word, and
+counts of the template's words in it are kept.
 
 Besides, phrases are counted: places where their words stand consecutively. The order and the templates are bounded by the templates' text.
 
@@ -85,31 +84,34 @@ class Scanner:
         except ValueError:
             return out
 
-    def containment(self, block: set[bytes], ordered: list[bytes], needed: int) -> float:
-        """The share of the ordered words in the block; 0 if it holds fewer than needed."""
-        if len(block) < needed:
-            return 0.0
-        spare = len(ordered) - needed
-        for w in ordered:
-            if w not in block:
-                spare -= 1
-                if spare < 0:
-                    return 0.0
-        return (needed + spare) / len(ordered)
-
     def found(self, words: list[bytes], there: frozenset[bytes]) -> Iterator[tuple[str, float, int, int]]:
         """(label, containment, first word, number of words) of every block found; ``there``: the prefix words that the text holds."""
         spots = [i for i, w in enumerate(words) if w in there]
         for label, width, ordered, needed, prefix in self.templates:
             if prefix.isdisjoint(there):
                 continue
-            last = max(0, (len(words) - 1) // width - 1)  # the block there reaches the end
-            blocks = {b for i in spots if words[i] in prefix for b in (min(i // width, last), min(max(i // width - 1, 0), last))}
-            for b in sorted(blocks):
-                block = words[b * width : (b + 2) * width]
-                share = self.containment(set(block), ordered, needed)
-                if share:
-                    yield label, share, b * width, len(block)
+            last = max(0, len(words) - 2 * width)  # the block there reaches the end
+            own = frozenset(ordered)
+            done = -1
+            counts: Counter[bytes] = Counter()
+            for i in spots:
+                if words[i] not in prefix:
+                    continue
+                for b in range(max(done + 1, i - 2 * width + 1, 0), min(i, last) + 1):
+                    if b == done + 1 and b:  # a word further
+                        gone = words[done]
+                        if gone in own:
+                            counts[gone] -= 1
+                            if not counts[gone]:
+                                del counts[gone]
+                        come = words[b + 2 * width - 1]
+                        if come in own:
+                            counts[come] += 1
+                    else:
+                        counts = Counter(w for w in words[b : b + 2 * width] if w in own)
+                    done = b
+                    if len(counts) >= needed:
+                        yield label, len(counts) / len(ordered), b, min(2 * width, len(words) - b)
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, int]:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks)"""

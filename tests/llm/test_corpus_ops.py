@@ -303,6 +303,24 @@ def test_license_scan_against_brute_force(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_notice_is_found_wherever_it_starts():
+    scanner = licenses.Scanner({})
+    rng = random.Random(5)
+    for before in range(30):
+        text = "lorem " * before + "Licensed under the terms of CC BY 4.0" + " ipsum" * 20
+        assert scanner.scan(text.encode())[5] == "cc-by"
+    for _ in range(150):
+        words = [w.encode() for w in rng.choices("lorem licensed under cc by 4 0 sa all rights reserved released mit license".split(), k=rng.randrange(0, 60))]
+        got = set(scanner.found(words, scanner.prefix.intersection(words)))
+        want = set()
+        for label, n, ordered, needed, _ in scanner.templates:
+            for b in range(max(1, len(words) - 2 * n + 1)):
+                block = words[b : b + 2 * n]
+                if (c := len(set(block) & set(ordered))) >= needed:
+                    want.add((label, c / len(ordered), b, len(block)))
+        assert got == want
+
+
 # 5
 
 
