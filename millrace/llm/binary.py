@@ -24,19 +24,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_dir, shuffle_partitions, slices, tidy
+from .common import documents, fresh_dir, opened, shuffle_partitions, slices, tidy
 from .tokens import default_path, encoder
 
 END_ID = 2
 NO_ID = -(2**63)
 
 
-def opened(folder: str) -> tuple[fs.FileSystem, str]:
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder[5:])
-    return fs.LocalFileSystem(), folder
-
-
 def put(folder: str, name: str, data: list[bytes]) -> None:
     files, path = opened(folder)
     own = f"{path}/_{name}-{uuid.uuid4().hex}"

@@ -7,11 +7,12 @@ import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of every "word" in this package.
@@ -19,22 +20,48 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many narrow rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: A key of more rows than this isn't left to one task of a join.
+HOT_KEY = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own if that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own if that is unset and Spark runs in this one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        own = spark.sparkContext.getCheckpointDir()
-        folder = own or os.path.join(tempfile.gettempdir(), "millrace-shared")
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "millrace-shared")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Paths that ``fresh_dir`` gave out and nobody has discarded, in order.
+MADE: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a folder, and the folder's path there."""
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder[5:])
+    return fs.LocalFileSystem(), folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,8 +70,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """``df`` over as many tasks as there are cores if its files make fewer: a table of some MB in one row group would keep one core busy. Larger tables are left as they are."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    few = int(plan.optimizedPlan().stats().sizeInBytes().toString()) >= least_bytes and plan.toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -55,24 +89,19 @@ def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def null_safe(left: DataFrame, right: DataFrame, key: str) -> Column:
-    return left[key].eqNullSafe(right[key])
-
+def join_counted(rows: DataFrame, told: DataFrame, key: str, total: int, hot: int = HOT_KEY) -> DataFrame:
+    """``rows`` joined with ``told``, which holds each key once and how many of the ``total`` rows have it (``n``, left out of the result).
 
-def per_row(fn: Callable[[list, list], dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function from one of (ids, texts as bytes) to columns.
-
-    Texts come in slices of a few MB, whatever the size of Spark's batches.
+    Keys of more than ``hot`` rows (at least a hundred-thousandth of all, so there are a hundred thousand of them at most) go along as a broadcast, so that
+    no task gets all rows of such a key; the others shuffle. Both tables may be read twice: pass tables that are cut or written.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch):
-                ids = piece.column(0).to_pylist()
-                texts = [t or b"" for t in piece.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_pydict(fn(ids, texts), schema=schema)
-
-    return run
+    told_small = told.drop("n")
+    limit = max(hot, total // 100_000)
+    crowded = told.where(F.col("n") > limit).drop("n")
+    if total <= limit or crowded.isEmpty():
+        return rows.join(told_small, key)
+    few = F.broadcast(crowded)
+    return rows.join(few, key).union(rows.join(few.select(key), key, "left_anti").join(told.where(F.col("n") <= limit).drop("n"), key))
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -88,31 +117,41 @@ def slices(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20) ->
         yield batch.slice(start)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 40, hot: int = HOT_KEY) -> DataFrame:
     """Connected components of an undirected graph by alternating large and small stars.
 
     ``edges`` (a long, b long) may hold repeated edges, both directions and loops. Returns (node long,
     label long), the label being the smallest node that is reachable; nodes without any edge do not appear.
     Every round hangs nodes on smaller neighbours and is checkpointed; it needs about log(n) rounds. Nothing
-    but one count a round comes to the driver. A node with very many neighbours only has a minimum taken over
-    them, in a partial aggregate first.
+    but a few counts a round come to the driver. The centre of a star of more than ``hot`` nodes is broadcast to its edges (``join_counted``).
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = cut(edges)
-    signature = None
+
+    def state(of: DataFrame) -> tuple:
+        """Number of edges, a sum that tells sets of edges apart, and the most edges of a lower and of an upper end."""
+        lower = of.select(F.col("v").alias("k"), F.lit(True).alias("low"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("x"))
+        ends = lower.union(of.select("u", F.lit(False), F.lit(None).cast("decimal(38,0)"))).groupBy("k", "low").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+        n, x, low, high = ends.agg(F.sum(F.when(F.col("low"), F.col("n"))), F.sum("x"), F.max(F.when(F.col("low"), F.col("n"))), F.max(F.when(~F.col("low"), F.col("n")))).first()
+        return n or 0, x, low or 0, high or 0
+
+    now = state(edges)
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # large star: neighbours above u hang on u's smallest
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        above = both.where("v > u")
+        met = join_counted(above, cut(least), "u", now[0], hot) if now[2] > hot else above.join(least, "u")
+        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours hang on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        large = cut(large) if now[3] > hot else large
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = join_counted(large, cut(low), "u", now[0], hot) if now[3] > hot else large.join(low, "u")
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == signature:
+        before, now = now, state(edges)
+        if now[:2] == before[:2]:
             break
-        signature = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

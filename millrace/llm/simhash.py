@@ -4,19 +4,17 @@ Fingerprint: words are runs without ASCII white space in the text with A-Z lower
 repeats included, form a shingle (a shorter text: all its words); a bit is set if it is set in over half of the shingles'
 XXH64 values. Fingerprints of 128 bits and more take XXH3-128 values, with a seed for each 128 bits. A text without words has fingerprint zero.
 
-Index: documents with the same fingerprint are one entry. Upper nodes of the index are masked bit patterns: under each mask of
-a set, the entries that share a pattern form a node, and nodes are spread over the cluster. Within a node, entries are sorted by the rank of
+Index: documents with the same fingerprint are one entry. Upper nodes of the index are masked bit patterns: under each of d + 1 disjoint
+masks, the entries that share a pattern form a node, and nodes are spread over the cluster. Two fingerprints at most d bits apart agree under one of the masks, so no
+link is lost, however few bits a mask has; it has as many as make nodes of about ``NODE`` entries. Within a node, entries are sorted by the rank of
 their fingerprint in the Gray code, where neighbours share long runs of bits; each run of ``FANOUT`` neighbours is a child node holding the
-mask of the bits that all of them share and their pattern, runs of children form parents, and so on up. A search goes down
-with all entries of a node against the index of the same node: the differences from a child's shared pattern are a
-lower bound for its whole group, so groups beyond the threshold are pruned unopened.
+mask of the bits that all of them share and their pattern, runs of children form parents, and so on up. What a parent's children share is
+factored into the parent, so a child holds only the further bits. A search goes down with all entries of a node against the index of the same node and adds
+up the differences from the shared patterns on its way: they are a lower bound for the whole group below, so groups beyond the threshold are pruned unopened.
 
-Masks: with ``pigeonhole(bits, d)`` the masks are d + 1 disjoint blocks, and two fingerprints at most d bits apart agree in one
-of them, so no link is lost. A node of more than ``HOT`` entries is split by a second
-pigeonhole of the free bits, which loses no link either.
+A node of more than ``HOT`` entries is split by d + 1 disjoint masks of the bits that are still free in it, and so on, which loses no link either.
 
-A node emits a spanning forest of its links, never all pairs (one of at most ``FANOUT`` entries is a leaf: it is scanned and
-emits its links), and ``components`` joins them.
+A node emits a spanning forest of its links, never all pairs, and ``components`` joins them.
 
 Defined results: a null text counts as empty. Every text without words has fingerprint zero and is linked like any other. A row
 with a null doc_id has a fingerprint and a component too; the component's id is the smallest doc_id that isn't null, and null only
@@ -33,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, slices, small_or_plain, tidy
+from .common import HOT_KEY, components, cut, documents, join_counted, slices, small_or_plain, tidy
 
 SEED = 42
 FANOUT = 16
-HOT = 20_000
+NODE, HOT = 4096, 20_000
 LANES = np.uint64(0x0101010101010101)
 SHIFTS = np.arange(8, dtype=np.uint64)
 
@@ -121,12 +119,16 @@ def differences(a: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The hierarchical index of one node: levels of (shared mask, shared pattern, first and last entry), the root level last."""
+    """The hierarchical index of one node: levels of (further shared mask, shared pattern), the root level last.
+
+    ``pruned`` and ``opened`` count the groups that searches passed over by their differences, and those they went into.
+    """
 
     def __init__(self, words: np.ndarray, fanout: int = FANOUT):
         self.order = gray_order(words)
         self.words = words[self.order]
         self.fanout = fanout
+        self.pruned = self.opened = 0
         ones, zeros = self.words, ~self.words
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ones) > 1:
@@ -135,12 +137,17 @@ class GrayIndex:
             self.levels.append((ones | zeros, ones))
             if len(starts) == 1:
                 break
+        for depth in range(len(self.levels) - 1):  # what a parent shares is told there alone
+            mask, pattern = self.levels[depth]
+            above = np.repeat(self.levels[depth + 1][0], fanout, axis=0)[: len(mask)]
+            self.levels[depth] = mask & ~above, pattern
 
     def within(self, q: np.ndarray, d: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Arrays (i, j) of sorted entries i of q and later ones j at most d bits away, but for groups known to be all of i's own label."""
         n = len(self.words)
         level = len(self.levels) - 1
         at, group = np.repeat(q, len(self.levels[level][0])), np.tile(np.arange(len(self.levels[level][0])), len(q))
+        far = np.zeros(len(at), np.int64)  # differences so far
         bounds = []
         low, high = label, label
         for mask, _ in self.levels:
@@ -152,13 +159,16 @@ class GrayIndex:
             low, high = bounds[depth]
             keep = (group + 1) * self.fanout ** (depth + 1) > at + 1  # partners come later in the order
             keep &= (low[group] != label[at]) | (high[group] != label[at])
-            at, group = at[keep], group[keep]
-            keep = differences((self.words[at] ^ pattern[group]) & mask[group]) <= d
-            at, group = at[keep], group[keep]
+            at, group, far = at[keep], group[keep], far[keep]
+            far = far + differences((self.words[at] ^ pattern[group]) & mask[group])
+            keep = far <= d
+            self.opened += int(keep.sum())
+            self.pruned += len(keep) - int(keep.sum())
+            at, group, far = at[keep], group[keep], far[keep]
             below = len(self.levels[depth - 1][0]) if depth else n
-            at, group = np.repeat(at, self.fanout), (group[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+            at, group, far = np.repeat(at, self.fanout), (group[:, None] * self.fanout + np.arange(self.fanout)).ravel(), np.repeat(far, self.fanout)
             keep = group < below
-            at, group = at[keep], group[keep]
+            at, group, far = at[keep], group[keep], far[keep]
         keep = (group > at) & (label[group] != label[at])
         at, group = at[keep], group[keep]
         keep = differences(self.words[at] ^ self.words[group]) <= d
@@ -210,39 +220,58 @@ def near_pairs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, d: int)
     return at[keep], other[keep]
 
 
-def pigeonhole(positions: Sequence[int], d: int) -> list[list[int]]:
-    """d + 1 disjoint blocks of bits: at most d differences leave one block untouched."""
-    return [b.tolist() for b in np.array_split(np.array(positions), d + 1)]
+def width(entries: int | None, free: int, d: int) -> int:
+    """Bits of each of d + 1 disjoint masks among ``free`` bits, for nodes of about ``NODE`` entries; None: as many as there are."""
+    return free // (d + 1) if entries is None else max(1, min(free // (d + 1), (entries // NODE).bit_length()))
+
+
+def masks_of(free: np.ndarray, d: int, bits: int) -> np.ndarray:
+    """d + 1 disjoint masks of ``bits`` bits each (rows of positions): at most d differences leave one of them untouched."""
+    return free[: (d + 1) * bits].reshape(d + 1, bits)
+
 
+def keyed(order: Sequence[int], d: int, entries: int | None):
+    """``mapInArrow`` function from (id, fp, above, used) to a row for each mask of the bits that aren't used: (id, fp, node, used).
 
-def keyed(masks: list[list[int]]):
-    """``mapInArrow`` function: every (id, fp, node) once per mask, under a key of the mask, its pattern and the node so far."""
+    ``order``: the bits in the order in which masks take them. The node is a hash of the one above, the mask and its pattern.
+    """
+    order = np.array(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fps = batch.column(1).to_pylist()
+            fps, above, used = (batch.column(i).to_pylist() for i in (1, 2, 3))
             bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
-            above = batch.column(2).to_pylist()
-            for k, mask in enumerate(masks):
-                patterns = np.packbits(bits[:, mask], axis=1)
-                node = [xxhash.xxh64_intdigest(a + bytes([k]) + p.tobytes(), 0) - 2**63 for a, p in zip(above, patterns)]
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "fp": batch.column(1), "node": pa.array(node, pa.int64())})
+            names = np.array([u.hex() for u in used])
+            for name in np.unique(names):  # rows with the same free bits
+                rows = np.flatnonzero(names == name)
+                taken = np.unpackbits(np.frombuffer(bytes.fromhex(name), np.uint8)).astype(bool)
+                free = order[~taken[order]]
+                for k, mask in enumerate(masks_of(free, d, width(entries, len(free), d))):
+                    patterns = np.packbits(bits[rows][:, mask], axis=1)
+                    node = [xxhash.xxh64_intdigest(above[i].to_bytes(8, "little", signed=True) + bytes([k]) + p.tobytes(), 0) - 2**63 for i, p in zip(rows.tolist(), patterns)]
+                    now = taken.copy()
+                    now[mask] = True
+                    yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(rows)), "fp": batch.column(1).take(pa.array(rows)), "node": pa.array(node, pa.int64()), "used": pa.array([np.packbits(now).tobytes()] * len(rows), pa.binary())})
 
     return run
 
 
+LINKS = "a long, b long, pruned long, opened long"
+
+
 def search(d: int, leaf: int = FANOUT, most_rows: int = 65_536):
-    """``mapInArrow`` function over rows (id, fp, node) sorted by node: the links (a, b) within the nodes."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """``mapInArrow`` function over rows (id, fp, node) sorted by node: ``LINKS``, the links (a, b) within the nodes, and rows of counts without a link."""
+    schema = pa.schema([(x.split()[0], pa.int64()) for x in LINKS.split(", ")])
 
     def linked(table: pa.Table) -> pa.RecordBatch:
         node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         ends = np.r_[starts[1:], len(node)]
         n = ends - starts
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        pruned = opened = 0
         rows = np.flatnonzero(np.repeat((n > 1) & (n <= leaf), n))
         if len(rows):
             m = n[(n > 1) & (n <= leaf)]
@@ -250,12 +279,14 @@ def search(d: int, leaf: int = FANOUT, most_rows: int = 65_536):
             a, b = near_pairs(as_words(table.column("fp").take(rows).to_pylist()), to - m, to, d)
             out.append((ids[rows[a]], ids[rows[b]]))
         for s, e in zip(starts[n > leaf].tolist(), ends[n > leaf].tolist()):
-            found = GrayIndex(as_words(table.column("fp").slice(s, e - s).to_pylist())).forest(d)
-            if found:
+            index = GrayIndex(as_words(table.column("fp").slice(s, e - s).to_pylist()))
+            if found := index.forest(d):
                 pairs = np.array(found)
                 out.append((ids[s:e][pairs[:, 0]], ids[s:e][pairs[:, 1]]))
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
+            pruned, opened = pruned + index.pruned, opened + index.opened
+        a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+        none, rest = [None], [None] * len(a)
+        return pa.RecordBatch.from_arrays([pa.array([*x], pa.int64()) for x in ([*a.tolist(), *none], [*b.tolist(), *none], [*rest, pruned], [*rest, opened])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -273,44 +304,59 @@ def search(d: int, leaf: int = FANOUT, most_rows: int = 65_536):
                 held, rows = table.slice(whole).combine_chunks().to_batches(), len(node) - whole
         if held:
             yield linked(pa.Table.from_batches(held).combine_chunks())
+        tidy()
 
     return run
 
 
-def links(entries: DataFrame, bits: int, d: int, masks: list[list[int]], hot: int = HOT) -> DataFrame:
-    """Links that connect all entries (id long, fp binary; distinct fp) within d bits of each other under one of the masks: (a long, b long)."""
-    schema = "id long, fp binary, node long"
-    nodes = entries.select("id", "fp", F.lit(b"").alias("above")).mapInArrow(keyed(masks), schema)
-    large = cut(nodes.groupBy("node").count().where(F.col("count") > hot).select("node", F.lit(True).alias("is_large")))
-    if not large.isEmpty():  # two entries at most d bits apart agree in a block of a second pigeonhole too, so the node splits without loss
-        told = nodes.join(small_or_plain(large), "node", "left")
-        blocks = pigeonhole(np.random.default_rng(3).permutation(bits).tolist(), d)
-        split = told.where("is_large").select("id", "fp", F.col("node").cast("string").cast("binary").alias("above")).mapInArrow(keyed(blocks), schema)
-        nodes = told.where("is_large IS NULL").select("id", "fp", "node").union(split)
-    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(search(d), "a long, b long").distinct()
-
-
-def groups(fps: DataFrame, bits: int, d: int, masks: list[list[int]]) -> DataFrame:
+def found_links(entries: DataFrame, n: int, bits: int, d: int, hot: int = HOT) -> DataFrame:
+    """``LINKS`` that connect all of the ``n`` entries (id long, fp binary; distinct fp) within d bits of each other, and counts of groups pruned and opened."""
+    schema = "id long, fp binary, node long, used binary"
+    order = np.random.default_rng(3).permutation(bits).tolist()
+    rows = entries.select("id", "fp", F.lit(0).cast("long").alias("above"), F.lit(bytes(bits // 8)).alias("used"))
+    many: int | None = n
+    done: DataFrame | None = None
+    while True:
+        nodes = rows.mapInArrow(keyed(order, d, many), schema)
+        large = cut(nodes.groupBy("node").agg(F.count("*").alias("n"), F.first("used").alias("used")).where(F.col("n") > hot))
+        split = [r["used"] for r in large.select("used").distinct().collect() if bits - int.from_bytes(r["used"], "big").bit_count() > d]  # a row per set of masks
+        if not split:
+            break
+        told = cut(nodes.join(small_or_plain(large.where(F.col("used").isin(split)).select("node", F.lit(True).alias("is_large"))), "node", "left"))
+        small = told.where("is_large IS NULL").select("id", "fp", "node")
+        done = small if done is None else done.union(small)
+        rows, many = told.where("is_large").select("id", "fp", F.col("node").alias("above"), "used"), None
+    nodes = nodes.select("id", "fp", "node") if done is None else done.union(nodes.select("id", "fp", "node"))
+    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(search(d), LINKS)
+
+
+def links(entries: DataFrame, n: int, bits: int, d: int, hot: int = HOT) -> DataFrame:
+    return found_links(entries, n, bits, d, hot).where("a IS NOT NULL").select("a", "b").distinct()
+
+
+def groups(fps: DataFrame, bits: int, d: int, hot_key: int = HOT_KEY) -> DataFrame:
     """(doc_id, fp, component_id) of (doc_id, fp), which is read more than once: pass one that is cut."""
-    entries = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()))
-    found = components(links(entries.select("id", "fp"), bits, d, masks))
-    linked = entries.join(found.withColumnRenamed("node", "id"), "id")
-    least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    moved = linked.join(least, "label").select("fp", "component_id")
-    named = entries.join(moved, "fp", "left").select("fp", F.least(F.col("component_id"), F.col("first")).alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    entries = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    many, total = entries.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = cut(components(links(entries.select("id", "fp"), many, bits, d)))
+    linked = cut(entries.join(found.withColumnRenamed("node", "id"), "id").select("fp", "first", "label"))
+    least = cut(linked.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    moved = join_counted(linked.select("fp", "label"), least, "label", many, hot_key).select("fp", "component_id")
+    named = cut(entries.join(moved, "fp", "left").select("fp", F.least(F.col("component_id"), F.col("first")).alias("component_id"), "n"))
+    return join_counted(fps, named, "fp", total, hot_key).select("doc_id", "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, d: int = 2, masks: list[list[int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; ``masks``: ``pigeonhole`` if None."""
-    return groups(cut(fingerprints(docs, words, bits, id_col, text_col)), bits, d, masks or pigeonhole(range(bits), d))
+def near_groups(docs: DataFrame, words: int = 3, bits: int = 64, d: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    return groups(cut(fingerprints(docs, words, bits, id_col, text_col)), bits, d)
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` without the near copies (``similar``: shingle sets that overlap by 0.8 or more) of a document with a smaller doc_id, all columns kept.
+    """``docs`` without the near copies (shingle sets that overlap by 0.8 or more) of a document with a smaller doc_id, all columns kept.
 
-    Texts without any word aren't near copies of each other here: they stay (exact dedup takes them). Rows whose doc_id is null
-    stay as well, as nothing could name them.
+    At 0.8, fingerprints alone either lose links or make false ones, so here they only find links cheaply; ``similar`` checks every link against the exact
+    sets and finds the links that fingerprints miss. Texts without any word aren't near copies of each other here: they stay (exact dedup takes them). Rows
+    whose doc_id is null stay as well, as nothing could name them.
     """
     from .similar import near_copies
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from millrace.llm import binary, common, exact, licenses, lines, mixing, packing, quality, registry, simhash, tokens, topk, urls
+from millrace.llm import binary, common, exact, licenses, lines, mixing, packing, quality, registry, similar, simhash, tokens, topk, urls
 
 SF = "/root/testdata/sf0.001"
 LONG = "tail of a very long text " * 8000
@@ -176,13 +176,55 @@ def test_components_over_planted_fingerprints(spark, hot):
     fps += [rng.getrandbits(10) for _ in range(60)]  # one crowded node
     df = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "doc_id long, fp binary")
     entries = df.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    found = common.components(simhash.links(entries, 64, 2, simhash.pigeonhole(range(64), 2), hot))
+    found = common.components(simhash.links(entries.select("id", "fp"), entries.count(), 64, 2, hot), hot=hot)
     label = {r["node"]: r["label"] for r in found.collect()}
     first = {}
     for i, f in enumerate(fps):
         first.setdefault(f, i)
     tops = slow_components(fps, 2)
     assert [label.get(first[f], first[f]) for f in fps] == tops
+    least = {}
+    for i, t in enumerate(tops):
+        least.setdefault(t, i)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(df, 64, 2, hot_key=3).collect()}
+    assert got == {i: least[t] for i, t in enumerate(tops)}
+
+
+def test_gray_index_prunes_whole_groups_and_loses_no_link():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    near = base[:40] ^ (np.uint64(1) << rng.integers(0, 60, 40).astype(np.uint64))
+    words = np.unique(np.concatenate([base, near, near[:9] ^ np.uint64(1 << 5)]))[:, None]
+    for mask, _ in simhash.GrayIndex(words).levels:
+        assert mask.shape[1] == 1
+    index = simhash.GrayIndex(words)
+    a, b = index.within(np.arange(len(words)), 2, np.arange(len(words)))
+    got = {tuple(sorted((int(index.order[i]), int(index.order[j])))) for i, j in zip(a, b)}
+    want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if (int(words[i, 0]) ^ int(words[j, 0])).bit_count() <= 2}
+    assert got == want and len(want) >= 40
+    assert index.pruned > index.opened > 0
+    upper = index.levels[1][0]
+    assert not any(int(m) & int(u) for m, u in zip(index.levels[0][0][:, 0], np.repeat(upper[:, 0], simhash.FANOUT)))  # shared bits are factored out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_links_of_the_query_come_from_gray_indexes(spark):
+    """Over the documents of sf0.01, and the long ones again with a word more, groups are pruned, and links and components are those of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("length(text) > 6000").select(F.col("doc_id") + 100_000, F.concat("text", F.lit(" more"))))
+    fps = common.cut(simhash.fingerprints(docs))
+    entries = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"))
+    found = simhash.found_links(entries, entries.count(), 64, 2)
+    n, pruned, opened = found.agg(F.count("a"), F.sum("pruned"), F.sum("opened")).first()
+    assert n > 0 and opened > 0 and pruned > 0
+    got = simhash.groups(fps, 64, 2).collect()
+    values = [int.from_bytes(r["fp"], "big") for r in got]
+    distinct = sorted(set(values))
+    tops = dict(zip(distinct, slow_components(distinct, 2)))
+    least = {}
+    for r, v in zip(got, values):
+        least[tops[v]] = min(r["doc_id"], least.get(tops[v], r["doc_id"]))
+    assert [r["component_id"] for r in got] == [least[tops[v]] for v in values]
 
 
 def test_wide_fingerprints_find_near_copies(spark):
@@ -257,6 +299,57 @@ def test_keep_one_misses_no_pair_at_the_threshold(spark):
     left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     lost = slow_losers(sorted(rows))
     assert len(lost) > 80 and left == {i for i, _ in rows} - lost
+    few = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r["doc_id"] for r in similar.near_copies(few, hot_key=3).collect()} == lost  # every key crowded
+
+
+def test_copies_make_no_more_pairs_than_they_are(spark):
+    """A group of many slightly different copies is linked by few pairs; only other classes' sets are paired with it."""
+    n = 3000
+    value, ids = np.repeat(np.arange(5), n), np.tile(np.arange(n), 5)
+    size = np.full(5 * n, 100)
+    few = pa.Table.from_batches(similar.few_pairs(value, ids, size))
+    assert few.num_rows <= 2 * n
+    label = np.where(ids < n - 1, 0, 1)
+    cross = pa.Table.from_batches(similar.cross_pairs(value, ids, size, label))
+    assert cross.num_rows == 5 * (n - 1)
+    assert not list(similar.cross_pairs(value, ids, size, np.zeros(5 * n, np.int64)))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_keep_one_over_documents(spark):
+    """The stage against brute force over all pairs of sf0.01: no link missed, none made up."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = r["text"].encode().lower().split()
+        if w:
+            sets[r["doc_id"]] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    top = {i: i for i in sets}
+
+    def head(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, s in sorted(sets.items()):
+        common_to = {}
+        for x in s:
+            for j in holders[x]:
+                if j < i:
+                    common_to[j] = common_to.get(j, 0) + 1
+        for j, c in common_to.items():
+            if 5 * c >= 4 * (len(s) + len(sets[j]) - c):
+                a, b = sorted((head(i), head(j)))
+                top[b] = a
+    lost = {i for i in sets if head(i) != i}
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {r["doc_id"] for r in docs.collect()} - lost and len(lost) > 50
+    none = simhash.keep_one(docs.limit(0))
+    assert none.count() == 0 and none.columns == docs.columns
 
 
 # 4
