@@ -6,13 +6,18 @@ holds at least ``ceil(threshold * size)`` of the template's different words (``s
 
 No block that is to be found is missed, and few are looked at: the templates' words are put in one global order, the rarest in the corpus
 first, by the number of documents that hold each. Of a template's words in that order, the first ``size - needed + 1`` are its
-prefix; a found block must hold one of them (prefix filter), so only windows over such words are candidates. There the window slides word by word, and
+prefix; a found block must hold one of them (prefix filter), so only windows over such words are candidates. A text that holds fewer of the template's words than
+needed has no block (length filter), nor has one whose prefix words and later words together are fewer (positional filter). There the window slides word by word, and
 counts of the template's words in it are kept.
 
+Found blocks are then judged. Templates are of two kinds (``license_texts``): bodies, for which the words that tell the license from a kindred one must be in the block;
+and short notices (threshold 1), whose words must stand there in their order, with at most half as many words put in and none that names another license. A label whose
+places all lie on places of a more specific one is hidden by it, so a CC BY-NC notice isn't one of CC BY.
+
 Besides, phrases are counted: places where their words stand consecutively. The order and the templates are bounded by the templates' text.
 
-Defined results: a null text counts as empty: no words, no places, no labels, score 0. Further columns are ignored; repeated rows are told alike.
-The score is the largest containment of any found block, 1 if a phrase was found, 0 if nothing was.
+Defined results: a null text counts as empty: no words, no places, no labels, score 0. Further columns are ignored, whatever their names; repeated rows are told alike.
+The score is 1 if a phrase was found, else the largest containment of a block that counts for a label that isn't hidden, else 0.
 """
 
 from __future__ import annotations
@@ -26,30 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices
+from .license_texts import BODIES, HIDES, MUST, NOTICES, OTHERWISE
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 THRESHOLD = 0.8
-#: (label, text, threshold): short notices must be whole, as a word more or less may name another license.
-TEMPLATES: tuple[tuple[str, str, float], ...] = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", THRESHOLD),
-    ("mit", "Released under the MIT License", 1.0),
-    ("apache", "you may not use this file except in compliance with the License", THRESHOLD),
-    ("apache", "Licensed under the Apache License, Version 2.0", 1.0),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", THRESHOLD),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3", 1.0),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", 0.95),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", THRESHOLD),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", THRESHOLD),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", THRESHOLD),
-    ("unlicense", "This is free and unencumbered software released into the public domain", THRESHOLD),
-    ("cc0", "has waived all copyright and related or neighboring rights to this work", THRESHOLD),
-    ("cc-by", "Licensed under CC BY 4.0", 1.0),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0", 1.0),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0", 1.0),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", 0.95),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", 1.0),
-    ("proprietary", "All rights reserved", 1.0),
-)
+#: (label, text, threshold); those with threshold 1 are notices.
+TEMPLATES: tuple[tuple[str, str, float], ...] = (*((label, text, THRESHOLD) for label, text in BODIES), *((label, text, 1.0) for label, text in NOTICES))
 _KEPT = [c for c in range(256) if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A]
 TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEPT else 0x20 for c in range(256))
 
@@ -64,11 +51,13 @@ class Scanner:
     def __init__(self, holders: dict[bytes, int], templates: Sequence[tuple[str, str, float]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES):
         order = lambda w: (holders.get(w, 0), w)
         self.templates = []
+        self.texts: list[list[bytes] | None] = []  # the words in their order, of notices
         for label, text, threshold in templates:
             words = words_of(text.encode())
             ordered = sorted(set(words), key=order)
             needed = math.ceil(threshold * len(ordered) - 1e-9)
             self.templates.append((label, len(words), ordered, needed, frozenset(ordered[: len(ordered) - needed + 1])))
+            self.texts.append(words if threshold == 1 else None)
         self.prefix = frozenset().union(*(t[4] for t in self.templates))
         self.phrases = [(words_of(p.encode()), label) for p, label in phrases]
         self.wanted = self.prefix.union(*(w for w, _ in self.phrases))
@@ -84,14 +73,17 @@ class Scanner:
         except ValueError:
             return out
 
-    def found(self, words: list[bytes], there: frozenset[bytes]) -> Iterator[tuple[str, float, int, int]]:
-        """(label, containment, first word, number of words) of every block found; ``there``: the prefix words that the text holds."""
+    def blocks(self, words: list[bytes], there: frozenset[bytes]) -> Iterator[tuple[int, float, int, int]]:
+        """(template, containment, first word, number of words) of every block found; ``there``: the prefix words that the text holds."""
         spots = [i for i, w in enumerate(words) if w in there]
-        for label, width, ordered, needed, prefix in self.templates:
-            if prefix.isdisjoint(there):
+        for k, (_, width, ordered, needed, prefix) in enumerate(self.templates):
+            held = prefix & there
+            if not held:
                 continue
-            last = max(0, len(words) - 2 * width)  # the block there reaches the end
             own = frozenset(ordered)
+            if len(held) + len((own - prefix).intersection(words)) < needed:
+                continue
+            last = max(0, len(words) - 2 * width)  # the block there reaches the end
             done = -1
             counts: Counter[bytes] = Counter()
             for i in spots:
@@ -111,7 +103,48 @@ class Scanner:
                         counts = Counter(w for w in words[b : b + 2 * width] if w in own)
                     done = b
                     if len(counts) >= needed:
-                        yield label, len(counts) / len(ordered), b, min(2 * width, len(words) - b)
+                        yield k, len(counts) / len(ordered), b, min(2 * width, len(words) - b)
+
+    def found(self, words: list[bytes], there: frozenset[bytes]) -> Iterator[tuple[str, float, int, int]]:
+        """``blocks`` with the template's label."""
+        for k, share, b, n in self.blocks(words, there):
+            yield self.templates[k][0], share, b, n
+
+    @staticmethod
+    def in_order(words: list[bytes], notice: list[bytes], b: int, n: int) -> Iterator[tuple[int, int]]:
+        """Places [first, end) in the block where the notice's words stand in order with few words between them."""
+        for first in range(b, b + n):
+            if words[first] != notice[0]:
+                continue
+            at, spare = first + 1, len(notice) // 2
+            for w in notice[1:]:
+                while at < b + n and words[at] != w and spare and words[at] not in OTHERWISE:
+                    at, spare = at + 1, spare - 1
+                if at >= b + n or words[at] != w:
+                    break
+                at += 1
+            else:
+                yield first, at
+
+    def told(self, words: list[bytes], there: frozenset[bytes]) -> tuple[dict[str, float], int]:
+        """The labels of blocks that count, each with its largest containment, and the number of such blocks (places of notices)."""
+        places: dict[str, set[tuple[int, int]]] = {}
+        score: dict[str, float] = {}
+        for k, share, b, n in self.blocks(words, there):
+            label, notice = self.templates[k][0], self.texts[k]
+            if notice is not None:
+                hits = set(self.in_order(words, notice, b, n))
+            else:
+                hits = {(b, b + n)} if MUST.get(label, frozenset()).issubset(words[b : b + n]) else set()
+            if hits:
+                places.setdefault(label, set()).update(hits)
+                score[label] = max(share, score.get(label, 0.0))
+        hidden = set()
+        for label in places:
+            for other in HIDES.get(label, set()) & places.keys():
+                if all(any(a < d and c < b for c, d in places[label]) for a, b in places[other]):
+                    hidden.add(other)
+        return {x: s for x, s in score.items() if x not in hidden}, sum(len(p) for x, p in places.items() if x not in hidden)
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, int]:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks)"""
@@ -126,10 +159,9 @@ class Scanner:
                 base.add(label)
                 at += hits
         there = self.prefix & seen
-        blocks = list(self.found(words, there)) if there else []
-        score = 1.0 if base else max((b[1] for b in blocks), default=0.0)
-        labels = base | {b[0] for b in blocks}
-        return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, len(blocks)
+        more, n = self.told(words, there) if there else ({}, 0)
+        score = 1.0 if base else max(more.values(), default=0.0)
+        return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more.keys())), score, n
 
 
 def holders(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
