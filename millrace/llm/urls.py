@@ -1,12 +1,12 @@
 """URL filter: host and path rules, then a weighted vocabulary found by an Aho-Corasick automaton.
 
 A rule (host, path prefix, verdict) fits its host and all subdomains where the URL's path starts with the rule's path; the
-longest rule wins (of equally long ones, a blocking one). Where none fits, the vocabulary decides: a term counts only where it
-is not within a longer run of letters or digits. One strict term blocks, and so do ``soft_needed`` different soft terms,
-however often each occurs.
+longest rule wins (of equally long ones, a blocking one). Where none fits, the vocabulary decides (``url_terms``: term and weight): a term counts only where it
+is not within a longer run of letters or digits of any script. One strict term blocks. So do ``SOFT_NEEDED`` different soft terms that weigh ``SOFT_WEIGHT`` together,
+however often each occurs: two strong ones, or a strong and a weak one, but not weak ones alone unless there are several.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; no rule fits it, and its text (null: empty)
-still goes to the vocabulary. Every row is judged by itself, so repeated rows are judged alike. Further columns are ignored.
+still goes to the vocabulary. Every row is judged by itself, so repeated rows are judged alike; a URL of any length is read whole, once. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .url_terms import SOFT_NEEDED, SOFT_WEIGHT, STRICT_WEIGHT, WEIGHTS
+
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-STRICT = ("porn", "xxx", "hentai", "warez", "keygen", "escort", "camgirls", "sexcam", "torrentz", "viagra")
-SOFT = ("sex", "adult", "nude", "casino", "poker", "bet", "dating", "crack", "torrent", "loan", "pills", "hack", "free", "win", "bonus", "slots")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,38 +30,36 @@ def lower_ascii(c: Column) -> Column:
 
 
 @lru_cache(maxsize=8)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def automaton(weights: tuple[tuple[str, int], ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for weight, terms in ((0, soft), (1, strict)):
-        for t in terms:
-            a.add_word(t, (t, weight))
+    for t, weight in weights:
+        a.add_word(t, (t, weight))
     a.make_automaton()
     return a
 
 
-def term_counts(text: str, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[int, int]:
-    """(places of strict terms, different soft terms) in a lower-case text."""
-    found: set[str] = set()
+def term_counts(text: str, weights: tuple[tuple[str, int], ...]) -> tuple[int, int, int]:
+    """(places of strict terms, different soft terms, their weight together) in a lower-case text."""
+    found: dict[str, int] = {}
     n = 0
-    word = lambda c: c.isascii() and c.isalnum()
-    for end, (term, is_strict) in automaton(strict, soft).iter(text):
+    for end, (term, weight) in automaton(weights).iter(text):
         start = end - len(term)
-        if (start >= 0 and word(text[start])) or (end + 1 < len(text) and word(text[end + 1])):
+        if (start >= 0 and text[start].isalnum()) or (end + 1 < len(text) and text[end + 1].isalnum()):
             continue
-        if is_strict:
+        if weight >= STRICT_WEIGHT:
             n += 1
         else:
-            found.add(term)
-    return n, len(found)
+            found[term] = weight
+    return n, len(found), sum(found.values())
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_needed: int = 2) -> DataFrame:
-    """(id, host, path, rule, verdict, n_strict long, n_soft long) of every row."""
-    strict, soft = tuple(strict), tuple(soft)
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, weights: dict[str, int] = WEIGHTS, soft_needed: int = SOFT_NEEDED, soft_weight: int = SOFT_WEIGHT) -> DataFrame:
+    """(id, host, path, rule, verdict, n_strict long, n_soft long, soft_weight long) of every row."""
+    vocabulary = tuple(sorted(weights.items()))
 
-    @F.pandas_udf("n_strict long, n_soft long")
+    @F.pandas_udf("n_strict long, n_soft long, soft_weight long")
     def terms(urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([term_counts(u or "", strict, soft) for u in urls], columns=["n_strict", "n_soft"])
+        return pd.DataFrame([term_counts(u or "", vocabulary) for u in urls], columns=["n_strict", "n_soft", "soft_weight"])
 
     url = F.coalesce(F.col(url_col), F.lit(""))
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(coalesce(`{url_col}`, ''), instr(coalesce(`{url_col}`, ''), '://') + 3)")).otherwise("")
@@ -73,8 +71,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h))) & F.startswith(F.col("path"), F.lit(p))
         rule, said = F.when(fits, name(h, p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(said)
     found = parts.select(id_col, "host", "path", rule.alias("rule"), said.alias("said"), terms(lower_ascii(F.col("u"))).alias("t"))
-    method = F.when((F.col("t.n_strict") > 0) | (F.col("t.n_soft") >= soft_needed), "block").otherwise("allow")
-    return found.select(id_col, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), F.col("t.n_strict").alias("n_strict"), F.col("t.n_soft").alias("n_soft"))
+    method = F.when((F.col("t.n_strict") > 0) | ((F.col("t.n_soft") >= soft_needed) & (F.col("t.soft_weight") >= soft_weight)), "block").otherwise("allow")
+    return found.select(id_col, "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "t.n_strict", "t.n_soft", "t.soft_weight")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,23 +81,25 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     low = f"translate(coalesce(url, ''), '{UPPER}', '{LOWER}')"
-    # a term's places: its neighbours may serve the next place too, so letters and digits are kept apart first
-    hits = lambda t: f"regexp_matches(l, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
-    n_strict = " + ".join(f"len(regexp_extract_all(d, '(?:^|[^a-z0-9]){t}(?:$|[^a-z0-9])'))" for t in STRICT)
-    n_soft = " + ".join(f"CAST({hits(t)} AS BIGINT)" for t in SOFT)
+    # the runs of letters and digits are the only places where a term counts
+    listed = lambda least, most: "[" + ", ".join(f"'{t}'" for t, w in WEIGHTS.items() if least <= w <= most) + "]"
+    n_strict = f"len(list_filter(runs, lambda x: list_contains({listed(STRICT_WEIGHT, 99)}, x)))"
+    soft = lambda least, most: f"len(list_filter(list_distinct(runs), lambda x: list_contains({listed(least, most)}, x)))"
+    n_soft = soft(0, STRICT_WEIGHT - 1)
+    weight = " + ".join(f"{w} * {soft(w, w)}" for w in sorted(set(WEIGHTS.values())) if w < STRICT_WEIGHT)
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     order = sorted(RULES, key=lambda x: (-len(x[0] + x[1]), x[2] != "block"))
     case = lambda f: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{f(h, p, v)}'" for h, p, v in order) + " END"
     return f"""
 WITH a AS (
-  SELECT page_id, {low} AS l, regexp_replace({low}, '([^a-z0-9])', '\\1\\1', 'g') AS d,
+  SELECT page_id, regexp_extract_all({low}, '[\\p{{L}}\\p{{N}}]+') AS runs,
          CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 b AS (
-  SELECT page_id, l, d, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+  SELECT page_id, runs, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 c AS (SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS said,
-             CAST({n_strict} AS BIGINT) AS n_strict, CAST({n_soft} AS BIGINT) AS n_soft FROM b)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM c
+             CAST({n_strict} AS BIGINT) AS n_strict, CAST({n_soft} AS BIGINT) AS n_soft, CAST({weight} AS BIGINT) AS soft_weight FROM b)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN n_strict > 0 OR (n_soft >= {SOFT_NEEDED} AND soft_weight >= {SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft, soft_weight FROM c
 """
 
 

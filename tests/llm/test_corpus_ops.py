@@ -126,6 +126,37 @@ def test_urls(spark):
     assert sorted(sql, key=repr) == sorted(set(got), key=repr)
 
 
+@pytest.mark.parametrize(
+    "url, verdict",
+    [
+        ("http://m.casino-win.example.com/en/1", "block"),
+        ("http://free-bets.example.com/fr/2", "block"),
+        ("http://www.cheap-pills.example.com/es/", "block"),
+        ("http://spam-farm.example.org/en/3", "block"),
+        ("http://ads-track.example.com/en/", "block"),
+        ("http://example.org/free-video", "allow"),  # weak ones alone
+        ("http://example.org/free/video/hot", "block"),  # several of them
+        ("http://essex.example.org/adultery/bets", "allow"),  # within longer words
+        ("http://example.org/casino", "allow"),
+        ("http://example.org/casino/CASINO?casino", "allow"),
+        ("http://example.org/\u00e9porn", "allow"),  # a letter of any script is no boundary
+        ("http://example.org/porn\u00e9", "allow"),
+        ("http://example.org/\u0436-porn", "block"),
+        ("http://news.example.org/en/health", "allow"),
+    ],
+)
+def test_planted_urls(spark, url, verdict):
+    weights = tuple(sorted(urls.WEIGHTS.items()))
+    n, soft, weight = urls.term_counts(url.lower(), weights)
+    assert ("block" if n or (soft >= 2 and weight >= 3) else "allow") == verdict
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://a.example.org/" + "x-free/" * 60_000 + "casino"
+    df = spark.createDataFrame([(1, long, "h"), (1, long, "h"), (None, "http://a.example.org/" + "y" * 300_000, "h")], "page_id long, url string, verdict string")
+    assert collected(urls.judge(df), "page_id", "verdict", "n_soft") == [(1, "block", 2), (1, "block", 2), (None, "allow", 0)]
+
+
 # 3
 
 
