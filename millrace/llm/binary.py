@@ -1,10 +1,11 @@
 """Token-ID files: flat unsigned integers and 64-bit document offsets, memory-mapped.
 
 The rows are range-partitioned by doc_id, with bounds from quantiles of the ids alone, so that no text is read for them. Each partition becomes a pair of files:
-``part-N.ids``, its documents' token ids one after another as little-endian unsigned integers (16 bits wide if the vocabulary and end id fit, else 32), and
+``part-N.ids``, its documents' token ids one after another as little-endian unsigned integers (16 bits wide if the tokenizer's ids and the end id fit, else 32), and
 ``part-N.idx``, unsigned 64-bit little-endian numbers: the start of each document in the part, and the part's number of ids at the end. ``part-N.doc`` holds the ids of
 the documents as signed 64-bit numbers (null: the least of them). A task writes under a name of its own and then renames, so a repeated
-task does no harm. A partition's base, the ids of all parts before it, comes from prefix sums of the parts' totals.
+task does no harm. There are as many partitions as make files of about ``PART_BYTES`` of text, each written by a task of its own as rows come, and read in pieces.
+A partition's base, the ids of all parts before it, comes from prefix sums of the parts' totals.
 
 Defined results: a null text counts as empty, so the document is just the end id. A null doc_id comes first in the order, rows with the same doc_id
 come in order of their ids as bytes. An empty table gives no rows. Further columns are ignored.
@@ -16,7 +17,9 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +27,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_dir, opened, shuffle_partitions, slices, tidy
+from .common import documents, fresh_dir, opened, put, shuffle_partitions, slices, tidy
 from .tokens import default_path, encoder
 
 END_ID = 2
 NO_ID = -(2**63)
-
-
-def put(folder: str, name: str, data: list[bytes]) -> None:
-    files, path = opened(folder)
-    own = f"{path}/_{name}-{uuid.uuid4().hex}"
-    with files.open_output_stream(own) as out:
-        for x in data:
-            out.write(x)
-    files.move(own, f"{path}/{name}")
+PART_BYTES, ROWS_AT_ONCE = 256 << 20, 10_000
 
 
 def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
@@ -64,8 +59,8 @@ class TokenFiles:
         """(doc_id, start among all ids, ids) of the documents of a part, in order."""
         base = self.parts[part]["base"]
         ids, idx, doc = (mapped(self.folder, f"part-{part}.{x}", t) for x, t in (("ids", self.dtype), ("idx", "<u8"), ("doc", "<i8")))
-        for k, d in enumerate(doc.tolist()):
-            a, b = int(idx[k]), int(idx[k + 1])
+        for k in range(len(doc)):
+            a, b, d = int(idx[k]), int(idx[k + 1]), int(doc[k])
             yield None if d == NO_ID else d, base + a, ids[a:b]
 
 
@@ -85,12 +80,30 @@ def encoded(docs: DataFrame, path: str, end_id: int, dtype: str, id_col: str, te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype: str = "<u2", parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False) -> TokenFiles:
+def width_of(tokenizer: str, end_id: int) -> str:
+    """The narrowest of the two types that holds every id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype: str | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False) -> TokenFiles:
     """Encodes ``docs`` with the file ``tokenizer``, in ascending order of the ids, into ``folder``, which the executors share."""
     spark = docs.sparkSession
-    parts = parts or shuffle_partitions(spark)
+    dtype = dtype or width_of(tokenizer, end_id)
+    parts = parts or max(shuffle_partitions(spark), int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES)
     bounds = sorted(set(docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / parts for i in range(1, parts)], 50 * parts)).first()[0] or [])) if parts > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
+    part = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if 0 < len(bounds) <= 64 else None
+    if part is None and bounds:  # many bounds: a binary search in a tree of comparisons
+        def tree(low: int, high: int):
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(F.col("doc_id") > bounds[mid], tree(mid + 1, high)).otherwise(tree(low, mid))
+
+        part = tree(0, len(bounds))
+    part = F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(0)) if part is not None else F.lit(0)
     files, path = opened(folder)
     files.create_dir(path, recursive=True)
 
@@ -101,8 +114,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype: str
             n, k = state["n"], state["part"]
             state["out"].close()
             files.move(state["own"], f"{path}/part-{k}.ids")
-            put(folder, f"part-{k}.idx", [np.array([*state["starts"], n], "<u8").tobytes()])
-            put(folder, f"part-{k}.doc", [np.array(state["docs"], "<i8").tobytes()])
+            put(folder, f"part-{k}.idx", [np.frombuffer(state["starts"], np.int64).astype("<u8").tobytes(), np.array([n], "<u8").tobytes()])
+            put(folder, f"part-{k}.doc", [np.frombuffer(state["docs"], np.int64).astype("<i8").tobytes()])
             return pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "n_docs": [len(state["docs"])], "n_ids": [n]})
 
         files, path = opened(folder)
@@ -113,7 +126,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype: str
                     if state["part"] is not None:
                         yield close()
                     own = f"{path}/_part-{k}-{uuid.uuid4().hex}"
-                    state = {"part": k, "own": own, "out": files.open_output_stream(own, buffer_size=1 << 20), "n": 0, "starts": [], "docs": []}
+                    state = {"part": k, "own": own, "out": files.open_output_stream(own, buffer_size=1 << 20), "n": 0, "starts": array("q"), "docs": array("q")}
                 state["out"].write(ids)
                 state["starts"].append(state["n"])
                 state["docs"].append(NO_ID if d is None else d)
@@ -122,7 +135,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dtype: str
             yield close()
 
     ids = encoded(docs, tokenizer, end_id, dtype, id_col, text_col, drops_space).withColumn("part", part.cast("int"))
-    ordered = ids.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "ids").select("part", "doc_id", "ids")
+    ordered = ids.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "ids").select("part", "doc_id", "ids")
     told = sorted(ordered.mapInArrow(store, "part int, n_docs long, n_ids long").collect())  # a row per part
     base, meta = 0, {}
     for k, n_docs, n_ids in told:
@@ -139,12 +152,13 @@ def read_documents(spark: SparkSession, store: TokenFiles) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                rows = [(d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, start, ids in store.documents(part)]
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows)))), schema=schema)
+                own = store.documents(part)
+                while rows := [(d, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, start, ids in islice(own, ROWS_AT_ONCE)]:
+                    yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows)))), schema=schema)
 
     own = [k for k, p in enumerate(store.parts) if p["docs"]]
-    parts = spark.createDataFrame([(k,) for k in own], "part int") if own else spark.createDataFrame([], "part int")
-    return parts.repartition(max(1, len(own)), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = spark.createDataFrame([(i, k) for i, k in enumerate(own)], "at int, part int") if own else spark.createDataFrame([], "at int, part int")
+    return parts.repartitionById(max(1, len(own)), "at").select("part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import json
 import os
 import tempfile
 import uuid
@@ -64,6 +65,36 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), folder
 
 
+def put(folder: str, name: str, data: list[bytes]) -> None:
+    files, path = opened(folder)
+    own = f"{path}/_{name}-{uuid.uuid4().hex}"
+    with files.open_output_stream(own) as out:
+        for x in data:
+            out.write(x)
+    files.move(own, f"{path}/{name}")
+
+
+def put_state(folder: str, name: str, number: int, state: dict) -> None:
+    """Keeps a small state in the folder, as the ``number``-th of its name; earlier ones stay until the next."""
+    files, path = opened(folder)
+    files.create_dir(path, recursive=True)
+    put(folder, f"{name}-{number:08d}.json", [json.dumps(state).encode()])
+    for old in files.get_file_info(fs.FileSelector(path)):
+        if old.base_name.startswith(f"{name}-") and old.base_name < f"{name}-{number - 1:08d}.json":
+            files.delete_file(old.path)
+
+
+def last_state(folder: str, name: str) -> dict | None:
+    files, path = opened(folder)
+    if files.get_file_info(path).type != fs.FileType.Directory:
+        return None
+    found = sorted(x.path for x in files.get_file_info(fs.FileSelector(path)) if x.base_name.startswith(f"{name}-"))
+    if not found:
+        return None
+    with files.open_input_stream(found[-1]) as f:
+        return json.loads(f.read())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -73,7 +104,7 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
     """``df`` over as many tasks as there are cores if its files make fewer: a table of some MB in one row group would keep one core busy. Larger tables are left as they are."""
     cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
-    few = int(plan.optimizedPlan().stats().sizeInBytes().toString()) >= least_bytes and plan.toRdd().getNumPartitions() < cores
+    few = int(str(plan.optimizedPlan().stats().sizeInBytes())) >= least_bytes and plan.toRdd().getNumPartitions() < cores
     return df.repartition(cores) if few else df
 
 
@@ -177,8 +208,9 @@ def bucketed(spark: SparkSession, folder: str, columns: str, key: str, buckets:
     return name
 
 
-def append_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    df.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def append_bucketed(df: DataFrame, name: str, key: str, buckets: int, placed: bool = False) -> None:
+    """``placed``: the rows lie in the tasks of their buckets already."""
+    (df if placed else df.repartition(buckets, key)).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -190,3 +222,8 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
         trim(0)
+
+
+def drop_bucketed(spark: SparkSession, name: str, folder: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    discard(spark, [folder])
