@@ -3,9 +3,12 @@
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased; keys of fewer than ``least``
 code points are left alone. A key's 128-bit XXH3 value stands for it. The index is a log-structured merge tree: each batch
 of documents is merge-anti-joined with the runs (bucketed and sorted tables, so that side isn't shuffled), and its new keys, each with the
-smallest doc_id that holds it, become a run of level 0; ``fanout`` runs of a level are merged into one of the next. Runs hold
+smallest doc_id that holds it, become a run of level 0; ``fanout`` runs of a level are merged into one of the next, bucket by bucket without a
+shuffle, and then removed. What runs there are is kept in the folder too, so another session goes on where this one ended. Runs hold
 disjoint keys, so every key has one owner, and all other documents lose its lines. A line that very many documents
-hold is one row per document and is reduced to one row before it meets the index.
+hold is one row per document and is reduced to one row before it meets the index; told back, it is broadcast (``join_counted``).
+
+Texts are shuffled only if there are too many documents with a line to drop for their ids to be broadcast; otherwise only theirs are.
 
 Defined results: a null or empty text is one empty line. The document that holds a key first (earlier batch, then smallest
 doc_id) keeps all its lines with it. A null doc_id counts as the largest, and rows with the same doc_id (or none) as one document,
@@ -14,6 +17,7 @@ though each gets its own row. Further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_bucketed, bucketed, cut, documents, fresh_dir, shuffle_partitions, slices, written
+from .common import BROADCAST_ROWS, HOT_KEY, append_bucketed, bucketed, documents, drop_bucketed, fresh_dir, join_counted, last_state, put_state, shuffle_partitions, slices, written
 
 LEAST = 10
 LAST = 2**63 - 1  # stands for a null doc_id
@@ -54,20 +58,31 @@ def line_keys(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 class LineRuns:
-    """The runs in ``folder``: ``levels[n]`` lists the tables of level n."""
+    """The runs in ``folder``: ``levels[n]`` lists the tables of level n. ``buckets`` counts for a new folder only."""
 
     COLUMNS = "key BINARY, owner BIGINT"
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = 3, buckets: int | None = None):
         self.spark, self.folder, self.fanout = spark, folder, fanout
-        self.buckets = buckets or shuffle_partitions(spark)
-        self.levels: list[list[str]] = []
-        self.made = 0
-
-    def _store(self, level: int, rows: DataFrame) -> None:
-        name = bucketed(self.spark, f"{self.folder}/level{level}-{self.made}", self.COLUMNS, "key", self.buckets)
+        state = last_state(folder, "runs") or {"buckets": buckets or shuffle_partitions(spark), "made": 0, "saved": 0, "levels": []}
+        self.buckets, self.made, self.saved = state["buckets"], state["made"], state["saved"]
+        self.folders: dict[str, str] = {}
+        self.levels = [[self._named(f) for f in folders] for folders in state["levels"]]
+
+    def _named(self, run: str) -> str:
+        name = bucketed(self.spark, f"{self.folder}/{run}", self.COLUMNS, "key", self.buckets)
+        self.folders[name] = run
+        return name
+
+    def _save(self) -> None:
+        """The state is kept after the runs that it names are complete and before those that it doesn't are removed."""
+        self.saved += 1
+        put_state(self.folder, "runs", self.saved, {"buckets": self.buckets, "made": self.made, "saved": self.saved, "levels": [[self.folders[n] for n in names] for names in self.levels]})
+
+    def _store(self, level: int, rows: DataFrame, placed: bool = False) -> None:
+        name = self._named(f"level{level}-{uuid.uuid4().hex[:12]}")
         self.made += 1
-        append_bucketed(rows, name, "key", self.buckets)
+        append_bucketed(rows, name, "key", self.buckets, placed)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -79,21 +94,28 @@ class LineRuns:
                 for n in names[1:]:
                     merged = merged.union(self.spark.table(n))
                 self.levels[level] = []
-                self._store(level + 1, merged)
-
-    def add(self, pairs: DataFrame) -> DataFrame:
-        """Adds a batch (doc, key), which is read twice. Returns the pairs whose lines go: (doc, key)."""
-        keys = pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                # the runs share their buckets, so this needs no exchange; each key is there once
+                self._store(level + 1, merged.groupBy("key").agg(F.min("owner").alias("owner")), placed=True)
+                self._save()
+                for n in names:
+                    drop_bucketed(self.spark, n, f"{self.folder}/{self.folders.pop(n)}")
+
+    def add(self, pairs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+        """Adds a batch (doc, key), which is read more than once. Returns the pairs whose lines go: (doc, key)."""
+        keys = pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
         owner = F.lit(None).cast("long")
         for n, name in enumerate(x for names in self.levels for x in names):
             run = self.spark.table(name).withColumnRenamed("owner", f"owner{n}")
             keys = keys.hint("merge").join(run, "key", "left")
             owner = F.coalesce(owner, F.col(f"owner{n}"))
-        told = written(keys.select("key", "first", "last", owner.alias("owner")), "line-keys")
+        told = written(keys.select("key", "first", "last", "n", owner.alias("owner")), "line-keys")
         self._store(0, told.where("owner IS NULL").select("key", F.col("first").alias("owner")))
+        self._save()
         self._compact()
-        shared = told.where("owner IS NOT NULL OR first <> last").select("key", F.coalesce("owner", "first").alias("owner"))
-        return pairs.join(shared, "key").where("doc <> owner").select("doc", "key")
+        shared = told.where("owner IS NOT NULL OR first <> last").select("key", F.coalesce("owner", "first").alias("owner"), "n")
+        most = told.agg(F.max("n")).first()[0] or 0
+        total = told.agg(F.sum("n")).first()[0] if most > hot_key else 0
+        return join_counted(pairs, shared, "key", total, hot_key).where("doc <> owner").select("doc", "key")
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, least: int = LEAST) -> DataFrame:
@@ -113,8 +135,15 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, least: int = LEAST) -> DataF
                     out["kept"].append(b"\n".join(kept))
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    of_doc = dropped.groupBy("doc").agg(F.collect_list("key").alias("keys")).hint("shuffle_hash")
-    rows = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(of_doc, "doc", "left").select("doc_id", "text", "keys")
+    of_doc = written(dropped.groupBy("doc").agg(F.collect_list("key").alias("keys")), "line-drops")
+    rows = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    touched = of_doc.select("doc")
+    if touched.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ids = F.broadcast(touched)
+        own = rows.join(ids, "doc", "left_semi").join(of_doc.hint("shuffle_hash"), "doc").select("doc_id", "text", "keys")
+        rows = own.union(rows.join(ids, "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>")))
+    else:
+        rows = rows.join(of_doc.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "keys")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept binary")
 
 
