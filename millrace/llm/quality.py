@@ -8,7 +8,7 @@ part of the score is fixed after training, so that scoring keeps a table of word
 Training takes at most ``MOST_LABELLED`` labelled rows per class, those with the smallest hash of their id, whole texts; every document is scored.
 
 Defined results: a null or empty text has no features, and its score follows from the bias alone. Of labels, only 0 and 1 count; a document whose labels
-contradict each other isn't learned from. If only one class (or none) is labelled, every score is 1 (0.5). Rows with a null doc_id are scored, not held
+contradict each other isn't learned from; of labelled rows that repeat a doc_id one is learned from (the same each time). If only one class (or none) is labelled, every score is 1 (0.5). Rows with a null doc_id are scored, not held
 out and never learned from. Repeated rows are scored alike. Further columns are ignored, or kept by ``keep_good``.
 """
 
@@ -108,7 +108,7 @@ class Model:
         clear = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).cast("int").alias("__label"), F.max(label_col).alias("__high")).where("__label = __high").select("__id", "__label")
         order = F.xxhash64("__id")
         picked = cut(clear.where("__label = 0").orderBy(order, "__id").limit(most).union(clear.where("__label = 1").orderBy(order, "__id").limit(most)))
-        rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("__id", F.col(text_col).alias("__text"), "__label")  # at most 2 * most rows
+        rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("__id", F.col(text_col).alias("__text"), "__label")
 
         def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -121,7 +121,9 @@ class Model:
             margin, bias = train([(np.frombuffer(a, np.uint16), np.frombuffer(s, np.float32)) for _, _, a, s in own], np.array([x[1] for x in own], np.int64))
             yield pa.RecordBatch.from_pydict({"margin": [margin.tobytes()], "bias": [bias]})
 
-        found = rows.mapInArrow(bags, "id long, label int, at binary, share binary").repartition(1).mapInArrow(learn, "margin binary, bias double").first()
+        # rows that repeat an id are one, whatever their number: at most 2 * most rows meet in the task that learns
+        own = rows.mapInArrow(bags, "id long, label int, at binary, share binary").groupBy("id").agg(F.min(F.struct("label", "at", "share")).alias("x")).select("id", "x.*")
+        found = own.repartition(1).mapInArrow(learn, "margin binary, bias double").first()
         return Model(np.frombuffer(bytes(found["margin"]), np.float32), found["bias"]) if found else Model(np.zeros(BUCKETS + 1, np.float32), 0.0)
 
     def score(self, texts: list[bytes], table: dict[bytes, tuple[float, int]]) -> list[float]:
