@@ -6,7 +6,7 @@ and no task holds more than one block and one shard. A cell keeps k candidates p
 ``fan_in`` neighbouring shards are merged per level until one list per query is left, so that a merge never
 sees more than ``fan_in * k`` entries.
 
-Defined results: a vector that is null, is empty, or holds a null or non-finite component takes no part, nor does a row
+Defined results: a vector that is null, is empty, or holds a null or non-finite component (or one whose ``scale``-fold is beyond a double) takes no part, nor does a row
 without id. Vectors are compared with those of their own length only. A repeated candidate row takes a rank of
 its own for each repetition; a repeated query row is answered once per repetition. Candidates with the query's id
 are its own row and left out. Equal scores rank by smaller id. Scores beyond the range of a long stop at its
@@ -36,7 +36,7 @@ def quantised(vectors: pa.ListArray, scale: float) -> Iterator[tuple[int, np.nda
     values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
     with np.errstate(over="ignore", invalid="ignore"):
         grid = np.floor(values * scale)
-    fine = np.isfinite(values)
+    fine = np.isfinite(grid)
     for i in range(len(vectors)):
         a, b = offsets[i], offsets[i + 1]
         if valid[i] and b > a and fine[a:b].all():
@@ -107,7 +107,8 @@ def search(queries: DataFrame, candidates: DataFrame, id_col: str, vec_col: str,
     blocks, shards = max(1, -(-n_q // block_tiles)), max(1, -(-n_c // shard_tiles))
     numbered = lambda df: df.withColumn("at", F.monotonically_increasing_id())
     # which block or shard holds a tile changes nothing in the result
-    spread = lambda n: F.pmod(F.xxhash64("at"), F.lit(n)).cast("long")
+    # in turn within each partition, from a start of its own, so that no block or shard gets many more tiles than another
+    spread = lambda n: F.pmod(F.xxhash64(F.shiftright("at", 33)) + F.col("at").bitwiseAND(2**33 - 1), F.lit(n)).cast("long")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = numbered(q).withColumn("block", spread(blocks)).withColumn("shard", each(shards)).select((F.col("block") * shards + F.col("shard")).alias("cell"), F.col("at").alias("qtile"), "dim", "ids", "data")
     right = numbered(c).withColumn("shard", spread(shards)).withColumn("block", each(blocks)).select((F.col("block") * shards + F.col("shard")).alias("cell"), F.lit(0).cast("long").alias("qtile"), "dim", "ids", "data")

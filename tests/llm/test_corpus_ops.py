@@ -87,6 +87,18 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df, df.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 25])
+def test_topk_with_repeated_query_rows(spark, times):
+    """The query's id stands more than once in a tile: each row of it is answered, and none takes a neighbour's place."""
+    rng = np.random.default_rng(times)
+    vectors = [(20, [1.0, 1.0, 1.0])] * times + [(i, rng.normal(size=3).tolist()) for i in range(21, 60) if i % 20] + [(70, [1e308, 1.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1)
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if i != 70]
+    best = sorted((-sum(64 * x for x in v), i) for i, v in good if i != 20)[:5]
+    want = sorted([(20, k, i, -s) for k, (s, i) in enumerate(best, 1)] * times)
+    assert collected(topk.search(df.where("vec_id = 20"), df, "vec_id", "embedding", k=5), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_selection_passes_over_every_own_row():
     scores = np.arange(30, dtype=np.int64)[None, :]
     ids = np.array([*range(100, 127), 7, 7, 7])  # the query's id three times, with the highest scores
@@ -531,6 +543,87 @@ def test_quality_edges(spark, docs):
     assert quality.Model.fit(docs.limit(0), labels).scored(docs.limit(0)).count() == 0
 
 
+def slow_score(text, vectors, out, bias):
+    """A plain average of the features' vectors and a softmax."""
+    words = (text or "").encode().split()
+    rows = [f for w in words for f in quality.features(w)] + [quality.REPEAT] * sum(a == b for a, b in zip(words, words[1:]))
+    z = out @ (sum(vectors[r] for r in rows) / len(rows) if rows else np.zeros(vectors.shape[1])) + bias
+    e = np.exp(z - z.max())
+    return float(e[1] / e.sum())
+
+
+def test_quality_score_against_plain_average():
+    rng = np.random.default_rng(3)
+    vectors, out, bias = rng.normal(size=(quality.BUCKETS + 1, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    model = quality.Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    texts = [t for _, t in TEXTS] + ["the the the cat", "\u00fcber \u00fcber x", "w" * 5000]
+    got = model.score([(t or "").encode() for t in texts], {})
+    assert got == pytest.approx([slow_score(t, vectors, out, bias) for t in texts], abs=1e-5)
+
+
+def test_quality_training_step_against_finite_differences():
+    """One step from the start moves every parameter against the slope of the loss, scaled by AdaGrad."""
+    text, label, dim = b"some words words of a text", 1, 3
+    at, share = quality.bag(text)
+
+    def start():
+        rng = np.random.default_rng(quality.SEED)
+        return rng.uniform(-0.1, 0.1, (quality.BUCKETS + 1, dim)), rng.uniform(-0.5, 0.5, (2, dim))
+
+    vectors, out = start()
+
+    def loss(v, o, b):
+        z = o @ (share.astype(float) @ v[at]) + b
+        return float(np.log(np.exp(z).sum()) - z[label])
+
+    weight, eps = 2 / 2, 1e-6  # two examples, one a class
+    slope = np.zeros((len(at), dim))
+    for i in range(len(at)):
+        for k in range(dim):
+            up, down = vectors.copy(), vectors.copy()
+            up[at[i], k] += eps
+            down[at[i], k] -= eps
+            slope[i, k] = weight * (loss(up, out, 0) - loss(down, out, 0)) / (2 * eps)
+    slope_out = np.zeros((2, dim))
+    for i in range(2):
+        for k in range(dim):
+            up, down = out.copy(), out.copy()
+            up[i, k] += eps
+            down[i, k] -= eps
+            slope_out[i, k] = weight * (loss(vectors, up, 0) - loss(vectors, down, 0)) / (2 * eps)
+    # the second example, of the other class, has no features: it moves the bias alone, and margins of rows come from vectors and out
+    empty = (np.empty(0, np.uint16), np.empty(0, np.float32))
+    rate = 0.01
+    margin, _ = quality.train([(at, share), empty], np.array([label, 0]), dim=dim, epochs=1, rate=rate)
+    rows = (slope**2).sum(1)
+    moved = vectors.copy()
+    bias = np.zeros(2)
+    order = np.random.default_rng(quality.SEED)
+    order.uniform(-0.1, 0.1, vectors.shape), order.uniform(-0.5, 0.5, out.shape)
+    if order.permutation(2)[0] == 1:  # the empty one came first and moved the bias
+        p = np.array([0.5, 0.5]) - np.array([1, 0])
+        bias = -rate * p / np.sqrt(1e-6 + p @ p)
+        z = out @ (share.astype(float) @ vectors[at]) + bias
+        q = np.exp(z) / np.exp(z).sum() - np.array([0, 1])
+        slope = share[:, None] * (q @ out)
+        slope_out = np.outer(q, share.astype(float) @ vectors[at])
+        rows = (share.astype(float) ** 2) * ((q @ out) ** 2).sum()
+    moved[at] -= rate * slope / np.sqrt(1e-12 + rows)[:, None]
+    moved_out = out - rate * slope_out / np.sqrt(1e-6 + (slope_out**2).sum(1))[:, None]
+    want = moved @ (moved_out[1] - moved_out[0])
+    assert margin[at] == pytest.approx(want[at], abs=1e-6)
+    assert margin == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_learns_once_from_repeated_rows(spark):
+    texts = [(i, ("good words here " if i % 2 else "bad noise there ") * 5) for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    many = once.union(once.where("doc_id % 2 = 1")).union(once.where("doc_id % 2 = 1"))
+    a, b = (quality.Model.fit(x, labels) for x in (once, many))
+    assert a.flat == b.flat and a.bias == b.bias
+
+
 # 6
 
 
@@ -539,7 +632,8 @@ def test_mix_against_sql(spark, docs):
     unique = docs.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL").select("doc_id", "text", "source")
     own = collected(mixing.mix(unique).select("doc_id", "size", "source_size", F.round("target", 6).alias("t"), (F.col("copies") * F.col("size")).alias("taken")), "doc_id", "size", "source_size", "t", "taken")
     names, want = by_sql(mixing.OP6_SQL, unique)
-    assert own == sorted([(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in want], key=repr)
+    at = [names.index(c) for c in ("doc_id", "size", "source_size", "target", "taken")]
+    assert own == sorted([tuple(round(r[i], 6) if i == at[3] else r[i] for i in at) for r in want], key=repr)
     assert len(got) == len(TEXTS) and all(r[4] in (0, r[1], 2 * r[1]) for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_rows(docs.limit(0)).count() == 0
     assert mixing.mixed_rows(docs).columns == docs.columns
@@ -561,6 +655,26 @@ def test_mix_meets_targets(spark):
     assert mixing.mixed_rows(df).count() == sum(r["copies"] for r in mixing.mix(df).collect())
 
 
+def test_mix_meets_its_inclusion_probabilities(spark):
+    """Over many seeds each document is drawn about as often as its inclusion probability says; longer ones have higher ones, and some are certain."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, "w " * (rng.randrange(1, 40) if i % 300 else 900), "b" if i % 2 else "a") for i in range(1200)], "doc_id long, text string, source string").repartition(2)
+    sized = common.cut(mixing.sizes(df, "doc_id", "text", "source", None))
+    seeds, drawn, odds = 3, {}, {}
+    for k in range(seeds):
+        told = mixing.drawn(sized, mixing.plan(sized, share=0.6, seed=f"s{k}"), f"s{k}").where(mixing.able())
+        for r in told.select("doc_id", "whole", "pi", mixing.copies().alias("n")).collect():
+            drawn[r["doc_id"]] = drawn.get(r["doc_id"], 0) + r["n"] - r["whole"]
+            odds[r["doc_id"]] = r["pi"]
+    assert len(odds) == 1200 and len({round(p, 9) for p in odds.values()}) >= 5
+    for low, high in ((0, 0.25), (0.25, 0.5), (0.5, 0.9999)):
+        some = [i for i in odds if low <= odds[i] < high]
+        if len(some) >= 100:
+            assert abs(sum(drawn[i] for i in some) / seeds / len(some) - np.mean([odds[i] for i in some])) < 0.06
+    certain = [i for i in odds if odds[i] >= 1]
+    assert {0, 300, 600, 900} <= set(certain) and all(drawn[i] == seeds for i in certain)
+
+
 # 7 and 9
 
 
@@ -676,9 +790,37 @@ def test_line_runs_over_batches(spark, tmp_path):
     assert {(bytes(r["key"]), r["owner"]) for names in runs.levels for n in names for r in spark.table(n).collect()} == set(seen.items())
 
 
+def test_line_runs_go_on_in_another_session(spark, tmp_path):
+    batch = lambda rows: spark.createDataFrame([(d, bytearray(k)) for d, k in rows], "doc long, key binary")
+    folder = str(tmp_path / "kept")
+    for k in range(3):
+        assert lines.LineRuns(spark, folder, fanout=2).add(batch([(10 + k, b"a"), (1, b"own%d" % k)])).count() == (k > 0)
+    again = lines.LineRuns(spark, folder, fanout=2)
+    gone = again.add(batch([(1, b"a"), (2, b"a"), (3, b"a"), (10, b"a"), (5, b"own1")]), hot_key=2)  # a crowded key
+    assert sorted((r["doc"], bytes(r["key"])) for r in gone.collect()) == [(1, b"a"), (2, b"a"), (3, b"a"), (5, b"own1")]
+    left = {os.path.basename(p) for p in os.listdir(folder) if p.startswith("level")}
+    assert left == {again.folders[n] for names in again.levels for n in names}  # merged runs are gone
+
+
 # 10
 
 
+def test_exact_dedup_runs_again_after_a_failure(spark, docs, tmp_path):
+    """The first try wrote the index and lost its output: with the same name nothing is dropped that wasn't stored."""
+    folder = str(tmp_path / "i")
+    lost = exact.DigestIndex(spark, folder, 3).add(docs, batch="monday")
+    again = exact.DigestIndex(spark, folder).add(docs, batch="monday", hot_key=1)
+    fields = ("doc_id", "keep_id", "group_size", "kept")
+    assert collected(again, *fields) == collected(lost, *fields)
+    index = exact.DigestIndex(spark, folder)
+    before = spark.table(index.name).count()
+    assert before == again.where("kept").count()
+    index.compact()
+    later = exact.DigestIndex(spark, folder)
+    assert spark.table(later.name).count() == before and not os.path.exists(f"{folder}/table0")
+    assert later.add(docs, batch="tuesday").where("kept").count() == 0
+
+
 def test_exact_dedup_against_sql(spark, docs, tmp_path):
     got = exact.DigestIndex(spark, str(tmp_path / "i"), 3).add(docs).withColumn("sha", F.lower(F.hex("digest")))
     names, want = by_sql(exact.OP10_SQL, docs)
