@@ -896,6 +896,22 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_on_odd_documents(spark, docs, tmp_path):
+    """Nulls, empty, repeated and long texts, clashing columns and an empty table through all stages."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [x.split()[0] for x in packing.SCHEMA.split(", ")]
+    good = quality.Model.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).keep_good(docs)
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} <= {r["doc_id"] for r in good.collect()}
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_against_sql(spark, name):
