@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, tidy
-from .tokens import default_path, encoder
+from .tokens import MOST_PIECES, default_path, encoder
 
 END_ID = 1
 MOST, LEAST = 2048, 256
@@ -114,15 +114,15 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)] if rows else [pa.array([], t) for t in ARROW.types], schema=ARROW)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = MOST, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: ``SCHEMA``."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = MOST, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = MOST_PIECES, slice_bytes: int = 4 << 20) -> DataFrame:
+    """A row per piece: ``SCHEMA``. ``most_pieces`` and ``slice_bytes`` bound a worker's memory: fewer take less of it and more time; the result is the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, most_pieces=most_pieces)
         packer = Packer(TaskContext.get().partitionId(), most, least)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most_bytes=slice_bytes):
                 for doc_id, ids in zip(piece.column(0).to_pylist(), own.encode(piece.column(1))):
                     packer.add(doc_id, np.append(ids, end))
                 yield packer.flush()

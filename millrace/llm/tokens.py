@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces, and characters of them, that a worker keeps at most; on reaching either it goes back to the first ones it met, which are the most common.
-MOST_PIECES, MOST_CHARS, FIRST_PIECES = 500_000, 10_000_000, 250_000
+#: Pieces that a worker keeps at most (and 20 characters for each); on reaching that it goes back to the first half of them it met, which are the most common.
+MOST_PIECES = 500_000
 LONG_PIECE = 64
 SPECIAL = "<|endoftext|>"
 #: Three spaces or line feeds in a row, two at the end, or any other white space.
@@ -30,13 +30,13 @@ UNEVEN = r"[ \n]{3}|[ \n]{2}$|[\t\r\f\v\x1c-\x1f\x{85}\p{Zl}\p{Zp}]|[^ \P{Zs}]"
 class Encoder:
     """``drops_space``: the tokenizer drops white space and case, so that pieces may leave them out."""
 
-    def __init__(self, path: str, dtype: type = np.uint32, drops_space: bool = False):
+    def __init__(self, path: str, dtype: type = np.uint32, drops_space: bool = False, most_pieces: int = MOST_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(SPECIAL)
-        self.dtype, self.drops_space = dtype, drops_space
+        self.dtype, self.drops_space, self.most_pieces = dtype, drops_space, most_pieces
         self.known: dict[str, bytes] = {"": b""}
         self.chars = 0
         self.signs = {s: self.whole(s) for s in ",."}
@@ -69,8 +69,8 @@ class Encoder:
         found = list(map(self.known.get, pieces))
         new = [p for p, x in zip(pieces, found) if x is None]
         if new:
-            if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
-                self.known = {p: ids for p, ids in islice(self.known.items(), FIRST_PIECES) if len(p) <= LONG_PIECE}
+            if len(self.known) > self.most_pieces or self.chars > 20 * self.most_pieces:
+                self.known = {p: ids for p, ids in islice(self.known.items(), self.most_pieces // 2) if len(p) <= LONG_PIECE}
                 self.chars = sum(map(len, self.known))
             self.learn(list(dict.fromkeys(new)))
             found = [self.known[p] if x is None else x for p, x in zip(pieces, found)]
@@ -107,9 +107,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, dtype: type = np.uint32, drops_space: bool = False) -> Encoder:
+def encoder(path: str, dtype: type = np.uint32, drops_space: bool = False, most_pieces: int = MOST_PIECES) -> Encoder:
     """The worker's encoder of that file."""
-    return Encoder(path, dtype, drops_space)
+    return Encoder(path, dtype, drops_space, most_pieces)
 
 
 def default_path(name: str) -> str:
