@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pack(docs, default_path("byte_bpe_50k.json"))
+    """The pieces of the packed sequences. The workers' tables are kept small, as the executors' heaps are full by now."""
+    return packing.pack(docs, default_path("byte_bpe_50k.json"), most_pieces=120_000, slice_bytes=2 << 20)
 
 
 STAGES = [("quality", good_quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix_sources), ("pack", pack_sequences)]
