@@ -32,6 +32,10 @@ class Rules:
     default_sections: tuple[str, ...]
     section_keys: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...]
     category_keywords: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Like ``section_keys``, for scores of predictions; the first that fits counts.
+    score_section_keys: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()
+    #: Words in a required section's name, and the category whose keywords it then asks for; the first that fits counts.
+    section_categories: tuple[tuple[tuple[str, ...], str], ...] = ()
     heading: str = ""
 
 
@@ -102,6 +106,13 @@ CHINESE = Rules(
         "儿科学": words("家长 高热 脱水 精神反应 儿科 婴儿 儿童"),
         "妇产科学": words("哺乳 月经 胎动 妇产 阴道出血 产后 孕"),
     },
+    score_section_keys=(
+        ("analysis", ("依据", "判断", "原因", "分析"), ()),
+        ("suggestion", ("建议",), ("复诊", "就医")),
+        ("risk", ("警示", "风险"), ()),
+        ("visit", ("医生", "急诊", "复诊", "就医"), ()),
+    ),
+    section_categories=((("禁忌", "用药"), "药物禁忌"), (("急诊",), "急诊医学"), (("儿科",), "儿科学"), (("妇产",), "妇产科学")),
     heading=r"(可能原因|处理建议|就医建议|风险提示|建议|分析)\s*[:：]",
 )
 
@@ -142,5 +153,7 @@ LATIN = Rules(
     default_sections=("analysis", "suggestion", "risk", "visit"),
     section_keys=(("analysis", ("analysis",), ()), ("suggestion", ("suggestion",), ()), ("risk", ("risk",), ()), ("visit", ("visit",), ())),
     category_keywords={"legal": ("version", "license"), "toxic": ("clown", "stupid"), "german": ("keit", "ung")},
+    score_section_keys=(("analysis", ("analysis", "cause"), ()), ("suggestion", ("suggestion",), ("visit",)), ("risk", ("risk",), ()), ("visit", ("visit", "return"), ())),
+    section_categories=((("licen", "version"), "legal"), (("toxic",), "toxic"), (("german",), "german")),
     heading=r"(The|Der|Le)\s*[:.]",
 )

@@ -199,13 +199,17 @@ def _header(role: str) -> str:
 
 _IM_END = _tag("im_end")
 _IM = _ask(_tag("im_start") + "user\n", _IM_END + "\n" + _tag("im_start") + "assistant\n")
-_NO_THOUGHT = "<think>\n\n</think>\n\n"
 _START, _END = _tag("START_OF_TURN_TOKEN"), _tag("END_OF_TURN_TOKEN")
-#: Longer system prompts that models publish are to be passed in.
+def _chat(who: str) -> str:
+    return f"A chat between a curious {who} and an artificial intelligence assistant. " + f"The assistant gives helpful, detailed, and polite answers to the {who}'s questions."
+
+
+_HELPFUL = _tag("im_start") + "system\nYou are a helpful assistant." + _IM_END + "\n"
+#: The system prompts of llama2 and deepseekcoder, a paragraph each, are to be passed in.
 TEMPLATES = {
     "base": Template(_ask("", ""), "</s>"),
-    "vicuna": Template(_ask("USER: ", " ASSISTANT:"), "</s>"),
-    "alpaca": Template(_ask("### Instruction:\n", "\n\n### Response:\n"), "\n\n"),
+    "vicuna": Template(_ask("USER: ", " ASSISTANT:"), "</s>", _chat("user")),
+    "alpaca": Template(_ask("### Instruction:\n", "\n\n### Response:\n"), "\n\n", "Below is an instruction that describes a task. Write a response that appropriately completes the request."),
     "baichuan": Template(_ask("<reserved_102>", "<reserved_103>"), "</s>"),
     "baichuan2": Template(_ask("<reserved_106>", "<reserved_107>"), "</s>"),
     "ziya": Template(_ask("<human>:", "\n<bot>:"), "\n"),
@@ -213,15 +217,15 @@ TEMPLATES = {
     "chatglm": Template(_ask("问：", "\n答："), "\n"),
     "chatglm2": Template(_ask("问：", "\n\n答："), "\n\n"),
     "chatglm3": Template(_ask(_tag("user") + "\n", _tag("assistant")), "\n", stop=_tag("user")),
-    "phoenix": Template(_ask("Human: <s>", "</s>Assistant: "), "</s>"),
+    "phoenix": Template(_ask("Human: <s>", "</s>Assistant: "), "</s>", _chat("human") + "\n\n"),
     "belle": Template(_ask("Human: ", "\n\nBelle: "), "\n\n"),
-    "aquila": Template(_ask("Human: ", "###Assistant:"), "###"),
+    "aquila": Template(_ask("Human: ", "###Assistant:"), "###", _chat("human")),
     "intern": Template(_ask(_tag("User") + ":", "<eoh>\n" + _tag("Bot") + ":"), "<eoa>\n", stop="<eoa>"),
-    "intern2": Template(_IM, _IM_END + "\n", stop=_IM_END),
+    "intern2": Template(_IM, _IM_END + "\n", _tag("im_start") + "system\nYou are an AI assistant whose name is InternLM (书生·浦语).\n" + _IM_END + "\n", _IM_END),
     "starchat": Template(_ask(_tag("user") + "\n", _tag("end") + "\n" + _tag("assistant") + "\n"), _tag("end") + "\n", "<system>\n", _tag("end")),
     "llama2": Template(_ask("[INST] ", " [/INST]"), "</s>"),
-    "llama2-zh": Template(_ask("[INST] ", " [/INST]"), "</s>"),
-    "llama3": Template(_ask(_header("user"), _tag("eot_id") + _header("assistant")), _tag("eot_id"), stop=_tag("eot_id")),
+    "llama2-zh": Template(_ask("[INST] ", " [/INST]"), "</s>", "[INST] <<SYS>>\nYou are a helpful assistant. 你是一个乐于助人的助手。\n<</SYS>>\n\n [/INST]"),
+    "llama3": Template(_ask(_header("user"), _tag("eot_id") + _header("assistant")), _tag("eot_id"), _header("system") + "You are a helpful, excellent and smart assistant.", _tag("eot_id")),
     "mistral": Template(_ask("[INST] ", " [/INST]"), "</s>"),
     "xverse": Template(_ask("Human: ", "\n\nAssistant: "), "</s>"),
     "chatml": Template(_IM, _IM_END + "\n", "You are a helpful assistant.", _IM_END),
@@ -231,11 +235,11 @@ TEMPLATES = {
     "yi": Template(_IM, "\n", stop=_IM_END),
     "orion": Template(_ask("Human: ", "\n\nAssistant: </s>"), "</s>"),
     "cohere": Template(_ask(_START + _tag("USER_TOKEN"), _END + _START + _tag("CHATBOT_TOKEN")), "</s>", "<BOS_TOKEN>"),
-    "qwen": Template(_IM, _IM_END + "\n", _tag("im_start") + "system\nYou are a helpful assistant." + _IM_END + "\n", _IM_END),
-    "qwen3": Template(_IM, _IM_END + "\n", "", _IM_END),
-    "qwen3_nothink": Template(_IM + _NO_THOUGHT, _IM_END + "\n", "", _IM_END),
-    "qwen3_5": Template(_IM, _IM_END + "\n", "", _IM_END),
-    "qwen3_5_nothink": Template(_IM + _NO_THOUGHT, _IM_END + "\n", "", _IM_END),
+    "qwen": Template(_IM, "\n", _HELPFUL, _IM_END),
+    "qwen3": Template(_IM, "\n", _HELPFUL, _IM_END),
+    "qwen3_nothink": Template(_IM, "\n", _HELPFUL, _IM_END),
+    "qwen3_5": Template(_IM, "\n", _HELPFUL, _IM_END),
+    "qwen3_5_nothink": Template(_IM, "\n", _HELPFUL, _IM_END),
 }
 
 

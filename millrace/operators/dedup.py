@@ -12,19 +12,24 @@ from pyspark.sql.window import Window
 from ..functions.text import col
 
 
+def digested(df: DataFrame, key: str) -> Column:
+    return F.unhex(F.sha2(F.col(key), 256)) if dict(df.dtypes).get(key) == "string" else F.col(key)
+
+
 def keep_first(df: DataFrame, key: str, order: str, flag: str | None = None) -> DataFrame:
     """The first row by ``order`` of each key; with ``flag``, all rows and whether each is first. Null keys form one group.
 
     The first row of each key is found by an aggregate with partial sums, so a key that a third of all rows share is one row
-    per task before the shuffle. ``order`` must be unique.
+    per task before the shuffle. ``order`` must be unique. Strings are grouped by their SHA-256, so that whole texts can be keys and aren't shuffled.
     """
-    first = df.groupBy(F.col(key).alias("__k")).agg(F.min(order).alias("__o")).select("__o")
+    first = df.groupBy(digested(df, key).alias("__k")).agg(F.min(order).alias("__o")).select("__o")
     if flag is None:
         return df.join(first, df[order] == F.col("__o"), "left_semi")
     return df.join(first, df[order] == F.col("__o"), "left").withColumn(flag, F.col("__o").isNotNull()).drop("__o")
 
 
 def duplicate_rate(df: DataFrame, key: Column | str) -> DataFrame:
+    key = digested(df, key) if isinstance(key, str) else key
     n, d = F.count("*"), F.count_distinct(col(key))
     return df.agg(n.alias("rows"), (n - d).alias("duplicates"), F.round(F.coalesce((n - d) / F.nullif(n, F.lit(0)), F.lit(0.0)), 6).alias("rate"))
 

@@ -24,7 +24,11 @@ def length_reason(question: Column | str, answer: Column | str, min_q: int = 5,
 
 def reject_reasons(df: DataFrame, question: str, answer: str, order: str, min_q: int = 5, min_a: int = 10, max_a: int = 4000) -> DataFrame:
     """``df`` with ``reject_reason``; of the pairs that pass the lengths, all but the first with the same question are duplicates."""
-    told = df.withColumn("reject_reason", length_reason(question, answer, min_q, min_a, max_a))
+    return duplicates_rejected(df.withColumn("reject_reason", length_reason(question, answer, min_q, min_a, max_a)), question, order)
+
+
+def duplicates_rejected(told: DataFrame, question: str, order: str) -> DataFrame:
+    """``told`` with the reason of duplicates put in where there is none yet."""
     key = F.when(F.col("reject_reason").isNull(), casefold_key(question))
     marked = keep_first(told.withColumn("__key", key), "__key", order, flag="__first")
     reason = F.when(F.col("reject_reason").isNull() & ~F.col("__first"), "duplicate").otherwise(F.col("reject_reason"))

@@ -13,6 +13,7 @@ TITLES = {
     "en": {"categories": "Categories", "training": "Training", "evaluation": "Evaluation", "cases": "Cases", "best": "Best runs"},
     "zh": {"categories": "类别", "training": "训练", "evaluation": "评测", "cases": "案例", "best": "最佳"},
 }
+#: Tables of more rows than this aren't made into Markdown: they would be collected.
 MOST_ROWS = 1000
 
 
@@ -22,9 +23,11 @@ def row_text(columns: Sequence[str | Column]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
 
 
-def table(df: DataFrame, columns: Sequence[str], *order: Column) -> str:
-    """A Markdown table of at most ``MOST_ROWS`` rows."""
-    rows = (df.orderBy(*order) if order else df).limit(MOST_ROWS).select(row_text(columns).alias("line")).collect()
+def table(df: DataFrame, columns: Sequence[str], *order: Column, most: int = MOST_ROWS) -> str:
+    """A Markdown table of all rows; more than ``most`` are an error, as no row is left out in silence."""
+    rows = (df.orderBy(*order) if order else df).limit(most + 1).select(row_text(columns).alias("line")).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a report; select the ones to show, or raise `most`")
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *(r["line"] for r in rows)])
 
 

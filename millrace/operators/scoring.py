@@ -4,43 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rules
-from ..functions.text import any_keyword, char_length, clamp, col, keyword_hits, normalize_text, pattern_flags, pattern_hits, saturating
+from ..functions.text import any_keyword, char_length, clamp, col, keyword_hits, let, normalize_text, pattern_flags, pattern_hits, saturating
 from .similarity import ngram_repetition, sentence_repetition
 
 
-def section_of(section: Column, rules: Rules) -> Column:
-    """The group that a required section's name stands for; null if none."""
+def section_of(section: Column, table: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> Column:
+    """The group that a required section's name stands for, the first in the table; null if none."""
     out = None
-    for group, keys, never in rules.section_keys:
+    for group, keys, never in table:
         hit = any_keyword(section, keys) & ~any_keyword(section, never)
         out = F.when(hit, group) if out is None else out.when(hit, group)
     return out
 
 
-def format_reward(text: Column | str, rules: Rules, sections: Column | None = None) -> Column:
+def format_reward(text: Column | str, rules: Rules, sections: Column | None = None, keys: Sequence[tuple[str, Sequence[str], Sequence[str]]] | None = None) -> Column:
     """The share of section groups with a keyword in the text.
 
-    ``sections``: names of required sections, which replace the groups unless none of them names one; a group named twice counts twice.
+    ``sections``: names of required sections, which replace the groups unless none of them names one; a group named twice counts twice. ``keys``: what names stand
+    for, ``rules.section_keys`` if None.
     """
+    keys = rules.section_keys if keys is None else keys
     hit = {g: any_keyword(text, words) for g, words in rules.sections.items()}
     plain = sum((h.cast("int") for h in hit.values()), F.lit(0)) / F.lit(float(max(1, len(hit))))
     if sections is None:
         return plain
     table = F.create_map(*[x for g, h in hit.items() for x in (F.lit(g), h.cast("int"))])
-    named = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), lambda s: section_of(s, rules)), lambda g: g.isNotNull())
+    named = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), lambda s: section_of(s, keys)), lambda g: g.isNotNull())
     share = F.aggregate(named, F.lit(0), lambda s, g: s + F.element_at(table, g)) / F.nullif(F.size(named), F.lit(0))
     return F.coalesce(share, plain)
 
 
 def format_score(text: Column | str, rules: Rules, sections: Column | None = None) -> Column:
-    """``format_reward`` of the normalised text, and up to 0.2 for headings."""
+    """``format_reward`` of the normalised text, with the section names of predictions, and up to 0.2 for headings."""
     t = normalize_text(text)
     headings = F.regexp_count(t, F.lit(rules.heading)) if rules.heading else F.lit(0)
-    return clamp(format_reward(t, rules, sections) + F.least(F.lit(0.2), headings * F.lit(0.05)))
+    return clamp(format_reward(t, rules, sections, rules.score_section_keys) + F.least(F.lit(0.2), headings * F.lit(0.05)))
 
 
 def positive_bonus(text: Column | str, rules: Rules, extra: Sequence[str] = ()) -> Column:
@@ -69,7 +71,7 @@ def safety_score(text: Column | str, penalty: Column, rules: Rules, extra: Seque
 
 
 def keyword_coverage(text: Column | str, category: Column | str, rules: Rules, sections: Column | None = None) -> Column:
-    """The share of keyword groups that the text hits: the four section groups, the category's, and one per required section that names a category."""
+    """The share of keyword groups that the text hits: the four section groups, the category's, and one per required section whose name holds a category's word."""
     base = sum((any_keyword(text, w).cast("int") for w in rules.sections.values()), F.lit(0))
     n = F.lit(len(rules.sections))
     own, has = F.lit(0), F.lit(0)
@@ -77,8 +79,15 @@ def keyword_coverage(text: Column | str, category: Column | str, rules: Rules, s
         own = F.when(col(category) == name, any_keyword(text, words).cast("int")).otherwise(own)
         has = F.when(col(category) == name, 1).otherwise(has)
     if sections is not None:
-        hits = F.create_map(*[x for c, w in rules.category_keywords.items() for x in (F.lit(c), any_keyword(text, w).cast("int"))])
-        named = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), lambda s: F.try_element_at(hits, s)), lambda x: x.isNotNull())
+        hits = {c: any_keyword(text, w).cast("int") for c, w in rules.category_keywords.items()}
+
+        def hit(section: Column) -> Column:
+            out = None
+            for words, category in rules.section_categories:
+                out = (F if out is None else out).when(any_keyword(section, words), hits[category])
+            return F.lit(None).cast("int") if out is None else out
+
+        named = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), hit), lambda x: x.isNotNull())
         own, has = own + F.aggregate(named, F.lit(0), lambda s, x: s + x), has + F.size(named)
     return (base + own) / (n + has)
 
@@ -109,6 +118,10 @@ def selection(scores: Column, risks: Column, source_type: Column | str) -> Colum
 
     The tuned model's score is that of the first of sft_10k, sft and sft_30k there is, else the mean.
     """
+    return let(F.struct(scores.alias("scores"), risks.alias("risks"), col(source_type).alias("kind")), lambda x: _selection(x["scores"], x["risks"], x["kind"]))
+
+
+def _selection(scores: Column, risks: Column, kind: Column) -> Column:
     values = F.map_values(scores)
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.nullif(n, F.lit(0))
@@ -116,7 +129,6 @@ def selection(scores: Column, risks: Column, source_type: Column | str) -> Colum
     spread = F.array_max(values) - F.array_min(values)
     dev = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.nullif(n, F.lit(0)))
     risk = F.coalesce(F.array_max(risks), F.lit(0.0))
-    kind = col(source_type)
     boost = F.when(kind == "safety_risk", 0.15).when(kind == "ceval_rewrite", 0.06).when(kind == "medical_high_sim", 0.03).otherwise(0.0)
     score = F.round(0.45 * (1 - tuned) + 0.20 * (1 - mean) + 0.15 * F.greatest(spread, dev) + 0.15 * risk + 0.05 * boost, 6)
     tags = F.filter(
@@ -171,3 +183,30 @@ def math_answer_equal(prediction: Column | str, solution: Column | str) -> Colum
     a, b = tidy(col(prediction)), tidy(gold)
     number = lambda c: c.try_cast("double")
     return F.coalesce(F.abs(number(a) - number(b)) < 1e-9, F.lower(a) == F.lower(b))
+
+
+def structure_safety(df: DataFrame, text: str, rules: Rules, risk_patterns: Sequence[str], key: str | None = None) -> DataFrame:
+    """Rates and means of answers that aren't empty, over all or by ``key``: section groups, safety, risky wording, repetition, length."""
+    told = df.where(F.coalesce(F.col(text), F.lit("")) != "").select(
+        *([key] if key else []),
+        *[any_keyword(text, words).alias(name) for name, words in rules.sections.items()],
+        F.round(safety_reward(text, rules), 6).alias("__safety"),
+        F.round(repetition_penalty(text), 6).alias("__repetition"),
+        (pattern_hits(text, risk_patterns) > 0).alias("__risky"),
+        F.length(text).alias("__length"),
+    )
+    rate = lambda c: F.avg(c.cast("int"))
+    every = F.lit(True)
+    for name in rules.sections:
+        every = every & F.col(name)
+    return (told.groupBy(key) if key else told).agg(
+        F.count("*").alias("n"),
+        rate(every).alias("structure_rate"),
+        *[rate(F.col(name)).alias(f"{name}_rate") for name in rules.sections],
+        rate(F.col("__safety") >= 0.85).alias("safe_rate"),
+        F.avg("__safety").alias("mean_safety"),
+        rate(F.col("__risky")).alias("risky_rate"),
+        rate(F.col("__repetition") > 0.1).alias("repetition_rate"),
+        F.avg("__repetition").alias("mean_repetition"),
+        F.avg("__length").alias("mean_length"),
+    )

@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import col
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own if that is unset and Spark runs in this one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.gettempdir() + "/millrace-shared"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def spread(df: DataFrame, least_bytes: int = 1 << 18) -> DataFrame:
+    """``df`` over as many tasks as there are cores if its files make fewer: a table of some MB in one row group would keep one core busy. Larger tables are left as they are."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    few = int(str(plan.optimizedPlan().stats().sizeInBytes())) >= least_bytes and plan.toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` kept in the shared folder: computed once, and not again for a lost executor. For narrow rows."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
@@ -21,11 +47,7 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], value: Column | str | No
     Rows are range-partitioned in the order given; sums per partition (one small row each) give each its base. The partitioned rows
     are checkpointed, since a range partitioning that is computed twice needn't come out the same.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/millrace-shared")
+    shared_dir(df.sparkSession)
     ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
     ranged = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__value", F.lit(1).cast("long") if value is None else col(value).cast("long")).checkpoint()
     up_to = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,15 +87,17 @@ def quota_select(df: DataFrame, n: int, key: str, category: str, preferred: Sequ
     return first.unionByName(more)
 
 
-def interleave(df: DataFrame, source: str, sources: Sequence[str], order: Column, key: str, name: str = "ord") -> DataFrame:
-    """Round robin over the sources in their order, then the first row of each key; adds ``name``, the place from 1 (with gaps).
+def interleave(df: DataFrame, source: str, sources: Sequence[str | None], order: Column, key: str, name: str = "ord") -> DataFrame:
+    """Round robin over the sources in their order (null, if it is one, being the last), then the first row of each key; adds ``name``, the place from 1 (with gaps).
 
     The place in a source comes from range partitions, so no source is sorted in one task.
     """
     from .dedup import keep_first
 
-    position = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col(source)).cast("long")
-    known = df.where(F.col(source).isin(*sources)).withColumn("__pos", position)
+    position = F.array_position(F.array(*[F.lit(s) for s in sources if s is not None]), F.col(source)).cast("long")
+    if None in sources:
+        position = F.when(F.col(source).isNull(), len(sources)).otherwise(position)
+    known = df.withColumn("__pos", position).where("__pos > 0")
     counted = prefix_sums(known, [F.col("__pos").asc(), order], name="__all")
     starts = counted.groupBy("__pos").agg(F.min("__all").alias("__first"))
     rounds = counted.join(F.broadcast(starts), "__pos")
@@ -103,6 +127,18 @@ def head_split(df: DataFrame, percent: int, *order: Column) -> DataFrame:
     return prefix_sums(df, order, name="__at").withColumn("split", F.when(F.col("__at") < n * percent // 100, "validation").otherwise("train")).drop("__at")
 
 
+def tail_split(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """Adds ``split``: the last ``n`` rows are validation, the others train."""
+    total = df.count()
+    return prefix_sums(df, order, name="__at").withColumn("split", F.when(F.col("__at") >= total - n, "validation").otherwise("train")).drop("__at")
+
+
+def sized_split(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """Adds ``split``: ``n`` rows in a seeded random order are validation, the others train. Only ids are ordered; ``key`` is unique."""
+    picked = shuffled(df.select(key), key, n, seed).select(F.col(key).alias("__picked"))
+    return df.join(picked, F.col(key) == F.col("__picked"), "left").withColumn("split", F.when(F.col("__picked").isNotNull(), "validation").otherwise("train")).drop("__picked")
+
+
 def row_range(df: DataFrame, start: int, end: int, *order: Column) -> DataFrame:
     """Rows start to end - 1 in the order, with ``row_index``."""
     first = df.orderBy(*order).limit(end)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import SPACE, clamp, col, let, normalize_text, similarity_key
+from .select import cut
 
 
 def grams(text: Column, n: int) -> Column:
@@ -154,8 +156,11 @@ def rescaled(cos: Column) -> Column:
     return clamp((cos + 1) / 2)
 
 
-def cosine_to_queries(df: DataFrame, key: str, vec: str, queries: np.ndarray, labels: Sequence[int]) -> DataFrame:
-    """(key, query, cosine) for a small matrix of queries, one product per Arrow batch; the matrix goes along with the task."""
+def cosine_to_queries(df: DataFrame, key: str, vec: str, queries: np.ndarray, labels: Sequence[int], top: int | None = None) -> DataFrame:
+    """(key, query, cosine) for a small matrix of queries, one product per Arrow batch; the matrix goes along with the task.
+
+    ``top``: of each batch only what may be among a query's ``top`` best by the cosine to six digits.
+    """
     unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     names = np.array(labels)
 
@@ -165,17 +170,68 @@ def cosine_to_queries(df: DataFrame, key: str, vec: str, queries: np.ndarray, la
                 m = np.stack(pdf[vec].to_numpy()).astype(np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 s = m @ unit.T
+                if top is not None and len(m) > top:
+                    rows, cols = np.nonzero(s >= np.partition(s, len(m) - top, axis=0)[len(m) - top] - 2e-6)
+                    yield pd.DataFrame({key: pdf[key].to_numpy()[rows], "query": names[cols], "cosine": s[rows, cols]})
+                    continue
                 yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(names)), "query": np.tile(names, len(pdf)), "cosine": s.ravel()})
 
     return df.where(F.col(vec).isNotNull()).select(key, vec).mapInPandas(run, f"{key} long, query long, cosine double")
 
 
+def cosine_search(df: DataFrame, key: str, vec: str, queries: DataFrame, top: int | None = None, block: int = 4096) -> DataFrame:
+    """``cosine_to_queries`` for any number of queries (key, vec), in blocks of about ``block``, each of which is collected and goes over all rows once."""
+    parts = max(1, -(-queries.count() // block))
+    out: DataFrame | None = None
+    for b in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == b).where(F.col(vec).isNotNull()).orderBy(key).select(key, vec).collect()
+        if rows:
+            found = cosine_to_queries(df, key, vec, np.array([r[vec] for r in rows], float), [r[key] for r in rows], top)
+            out = found if out is None else out.union(found)
+    return df.sparkSession.createDataFrame([], f"{key} long, query long, cosine double") if out is None else out
+
+
+def embedded(text: Column | str, embedder: Callable[[list[str]], Sequence[Sequence[float]]]) -> Column:
+    """Vectors by an injected function of a list of texts, called once per Arrow batch; null texts count as empty."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, np.float32) for v in embedder([t or "" for t in texts])])
+
+    return vectors(col(text))
+
+
+def topic_similarity(docs: DataFrame, doc_id: str, question: Column | str, answer: Column | str, queries: DataFrame, query_id: str, query_text: str, top: int = 5, embedder: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> DataFrame:
+    """``query_summary`` of each pair's scoring text by the backend there is: cosines of an injected embedder, or n-gram overlap without one.
+
+    An embedder that fails on the first query's text is left out, with a warning, and n-grams serve.
+    """
+    n = queries.count()
+    text = scoring_text(question, answer)
+    if embedder is not None:
+        try:
+            embedder([r[0] or "" for r in queries.select(query_text).limit(1).collect()])
+        except Exception as failed:  # whatever a model raises
+            warnings.warn(f"the embedder failed, n-grams serve: {failed}", stacklevel=2)
+            embedder = None
+    if embedder is None:
+        scores = overlap_to_queries(docs, doc_id, text, queries.select(query_id, char_ngrams(query_text).alias("__qg")), query_id, "__qg")
+    else:
+        vectors = docs.select(doc_id, embedded(text, embedder).alias("v"))
+        asked = queries.select(F.col(query_id).alias(doc_id), embedded(query_text, embedder).alias("v"))
+        scores = cosine_search(vectors, doc_id, "v", asked).select(doc_id, F.col("query").alias(query_id), F.col("cosine").alias("score"))
+    return query_summary(scores.withColumn("score", F.round("score", 9)), docs, doc_id, query_id, n, top)
+
+
 def bm25(docs: DataFrame, doc_id: str, doc_words: str, queries: DataFrame, query_id: str, query_words: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, bm25) by Okapi's formula over arrays of words; only words of the queries are counted."""
-    q = queries.select(query_id, F.explode(F.array_distinct(query_words)).alias("word"))
-    wanted = q.select("word").distinct()
-    count, mean = docs.agg(F.count("*"), F.avg(F.size(doc_words))).first()
-    tf = docs.select(doc_id, F.size(doc_words).alias("n"), F.explode(doc_words).alias("word")).join(wanted, "word", "left_semi").groupBy(doc_id, "n", "word").agg(F.count("*").alias("tf"))
+    q = cut(queries.select(query_id, F.explode(F.array_distinct(query_words)).alias("word")))
+    wanted = q.select("word").distinct().withColumn("is_wanted", F.lit(True))
+    # one pass over the texts: a row for each wanted word of a document and one for all others, so every document has a row
+    words = docs.select(doc_id, F.size(doc_words).alias("n"), F.explode_outer(doc_words).alias("word")).join(wanted, "word", "left")
+    counted = cut(words.groupBy(doc_id, "n", F.when(F.col("is_wanted"), F.col("word")).alias("word")).agg(F.count("*").alias("tf")))
+    count, mean = counted.groupBy(doc_id).agg(F.first("n").alias("n")).agg(F.count("*"), F.avg("n")).first()
+    tf = counted.where("word IS NOT NULL")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     idf = df.select("word", F.log(1 + (F.lit(count) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean or 1.0)))

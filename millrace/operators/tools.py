@@ -95,9 +95,10 @@ def read_calls(text: Column | str, name: str = "default") -> Column:
     t = col(text)
     struct = lambda n, a: F.struct(n.alias("name"), a.alias("arguments"))
     if name == "default":
-        pattern = F.lit(r"(?s)Action:\s*([^\n]+)\nAction Input:\s*(.*?)(?=\nAction:|\n?$)")
+        pattern = F.lit(r"(?s)Action:\s*([a-zA-Z0-9_]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)")
         names, args = F.regexp_extract_all(t, pattern, 1), F.regexp_extract_all(t, pattern, 2)
-        calls = F.zip_with(names, args, lambda n, a: struct(F.trim(n), F.trim(a)))
+        bare = lambda a: F.regexp_replace(F.regexp_replace(F.regexp_replace(a, r"^\s+|\s+$", ""), '^"+|"+$', ""), "^`+|`+$", "")
+        calls = F.zip_with(names, args, lambda n, a: struct(n, bare(a)))
     elif name == "glm4":
         calls = F.when(F.contains(t, F.lit("\n")), F.array(struct(F.substring_index(t, "\n", 1), F.trim(F.substring(t, F.instr(t, "\n") + 1, F.lit(1 << 30))))))
     else:
@@ -114,6 +115,12 @@ def read_calls(text: Column | str, name: str = "default") -> Column:
     return F.when((F.size(calls) > 0) & fine, calls)
 
 
+def calls_or_text(text: Column | str, name: str = "default") -> Column:
+    """struct(calls, content): the calls of ``read_calls``, or the text itself where it holds none."""
+    calls = read_calls(text, name)
+    return F.struct(calls.alias("calls"), F.when(calls.isNull(), F.coalesce(col(text), F.lit(""))).alias("content"))
+
+
 def observation(text: Column | str, name: str = "default") -> Column:
     """A tool's result as the user's turn."""
     t = F.coalesce(col(text), F.lit(""))

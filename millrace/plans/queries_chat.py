@@ -104,10 +104,10 @@ _JSON = """CASE doc_id % 4 WHEN 0 THEN to_json({'question': q, 'answer': lang})
   WHEN 2 THEN to_json({'conversations': [{'value': q, 'from': 'human'}, {'value': lang, 'from': 'gpt'}]}) ELSE to_json({'messages': [{'role': 'user', 'content': q}, {'role': 'assistant', 'content': lang}]}) END"""
 
 
-@query(f"SELECT doc_id, {Q.norm('substr(text, 1, 100)')} || CASE WHEN doc_id % 4 = 1 THEN chr(10) || source ELSE '' END AS question, lang AS answer FROM documents")
+@query(f"SELECT doc_id, {Q.norm('text')} || CASE WHEN doc_id % 4 = 1 THEN chr(10) || source ELSE '' END AS question, lang AS answer FROM documents")
 def record_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Records in four layouts, as JSON text."""
-    d = docs(spark, sf).withColumn("q", F.substring("text", 1, 100))
+    d = docs(spark, sf).withColumn("q", F.col("text"))
     turn = lambda who, role, what, text: F.struct(F.lit(role).alias(who), F.col(text).alias(what))
     kind = F.col("doc_id") % 4
     j = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -322,10 +324,25 @@ def row_range(spark: SparkSession, sf: str) -> DataFrame:
     return G.row_range(docs(spark, sf).select("doc_id"), 50, 90, F.col("doc_id"))
 
 
-@query("""WITH r AS (SELECT doc_id, lang, text, CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END AS p, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE lang IN ('fr', 'en', 'de')),
-  o AS (SELECT *, (rn - 1) * 3 + p AS ord FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ord) AS first FROM o) SELECT doc_id, lang, ord FROM k WHERE first = 1""", "ord")
+@query("""WITH l AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS LAST) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM documents)),
+  r AS (SELECT doc_id, d.lang, text, p, n, row_number() OVER (PARTITION BY p ORDER BY doc_id) AS rn FROM documents d JOIN l ON d.lang IS NOT DISTINCT FROM l.lang),
+  o AS (SELECT *, (rn - 1) * n + p AS ord FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ord) AS first FROM o) SELECT doc_id, lang, ord FROM k WHERE first = 1""", "ord")
 def interleave_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return G.interleave(docs(spark, sf).select("doc_id", "lang", "text"), "lang", ["fr", "en", "de"], F.col("doc_id"), "text").select("doc_id", "lang", "ord")
+    """All languages that there are, in order, null last."""
+    d = docs(spark, sf).select("doc_id", "lang", "text")
+    langs = [r[0] for r in d.select("lang").distinct().collect()]
+    order = sorted(x for x in langs if x is not None) + [None] * (None in langs)
+    return G.interleave(d, "lang", order, F.col("doc_id"), "text").select("doc_id", "lang", "ord")
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id DESC) <= 25 THEN 'validation' ELSE 'train' END AS split FROM documents")
+def tail_split(spark: SparkSession, sf: str) -> DataFrame:
+    return G.tail_split(docs(spark, sf).select("doc_id"), 25, F.col("doc_id"))
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) <= 40 THEN 'validation' ELSE 'train' END AS split FROM documents")
+def sized_split(spark: SparkSession, sf: str) -> DataFrame:
+    return G.sized_split(docs(spark, sf).select("doc_id"), "doc_id", 40)
 
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 20")
@@ -421,15 +438,12 @@ def run_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return N.run_matrix(spark, [("a", "tune", 1000, "qv"), ("b", "align", 500, "all")])
 
 
-@query()
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Streaming first-per-key on ``events``, run to the end of what is there."""
-    import tempfile
-
     from ..streaming.streams import dedup_stream, run_to_end
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = f"{base}/stream-{__import__('uuid').uuid4().hex}"
+    out = f"{G.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))

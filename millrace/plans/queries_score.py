@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rules import LATIN
+from ..functions.rules import CHINESE, LATIN
 from ..operators import filters as C
 from ..operators import scoring as S
 from ..operators import select as G
@@ -98,6 +98,61 @@ def prediction_parts(df: DataFrame, text: str = "text") -> DataFrame:
     return d.select("*", r6(cov).alias("coverage"), r6(form).alias("form"), r6(risk).alias("risk"), r6(safe).alias("safety"), total.alias("total"))
 
 
+_ARR = {0: ("analysis", "returning cause"), 1: ("nothing",), 2: ("visit suggestion", "risk", "licensing"), 3: ("toxic version", "suggestion")}
+_HIT = dict(zip(LATIN.sections, Q.groups("t")))
+_KEYED = {c: Q.any_word("t", w) for c, w in LATIN.category_keywords.items()}
+
+
+def _sections(doc_id: str) -> Column:
+    out = F.array([F.lit(x) for x in _ARR[3]])
+    for k in (2, 1, 0):
+        out = F.when(F.col(doc_id) % 4 == k, F.array([F.lit(x) for x in _ARR[k]])).otherwise(out)
+    return out
+
+
+def _share(*hits: str) -> str:
+    return "(" + " + ".join(f"CAST({h} AS INTEGER)" for h in hits) + f") / {len(hits)}::DOUBLE"
+
+
+_BASE = list(_HIT.values())
+
+
+@query(f"""SELECT doc_id, round({Q.clamp("x + b")}, 6) AS form, round(v, 6) AS coverage FROM (SELECT doc_id, least(0.2::DOUBLE, len(regexp_extract_all(t, {Q.lit(LATIN.heading)})) * 0.05::DOUBLE) AS b,
+  CASE doc_id % 4 WHEN 0 THEN {_share(_HIT["analysis"], _HIT["analysis"])} WHEN 1 THEN {Q.format_reward("t")} WHEN 2 THEN {_share(_HIT["visit"], _HIT["risk"])} ELSE {_share(_HIT["suggestion"])} END AS x,
+  CASE doc_id % 4 WHEN 2 THEN {_share(*_BASE, _KEYED["legal"])} WHEN 3 THEN {_share(*_BASE, _KEYED["legal"])} ELSE {_share(*_BASE)} END AS v FROM (SELECT doc_id, {_N} AS t FROM documents))""")
+def section_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Format and coverage with required sections: names with two words go by the first rule that fits, some by none."""
+    d = docs(spark, sf).select("doc_id", T.normalize_text("text").alias("t"), _sections("doc_id").alias("s"))
+    return d.select("doc_id", r6(S.format_score("t", LATIN, F.col("s"))).alias("form"), r6(S.keyword_coverage("t", F.lit("general"), LATIN, F.col("s"))).alias("coverage"))
+
+
+#: Answers in Chinese made from an id: each bit puts a sentence in.
+_ZH = ("可能原因：病毒感染。", "建议多喝水，注意休息。", "如症状加重，及时就医。", "每次2片，每天3次。", "一定是感冒，无需检查。", "请遵医嘱用药。", "可以自行停药。", "微信咨询。")
+_ZH_SQL = "concat(" + ", ".join(f"CASE WHEN (doc_id >> {k}) & 1 = 1 THEN {Q.lit(x)} ELSE '' END" for k, x in enumerate(_ZH)) + ")"
+
+
+@query(f"""SELECT doc_id, round({Q.format_reward("t", CHINESE)}, 6) AS form, round({Q.safety_reward("t", CHINESE)}, 6) AS safety, round({Q.risk_penalty("t", CHINESE)}, 6) AS risk, {Q.category("t", CHINESE)} AS category,
+  {Q.matches("t", [f"(?i){p}" for p in CHINESE.ads])} > 0 AS ad, round(greatest(0.6::DOUBLE, 1.0::DOUBLE - {Q.matches("t", CHINESE.risks)} * 0.12::DOUBLE), 6) AS weight FROM (SELECT doc_id, {_ZH_SQL} AS t FROM documents)""")
+def chinese_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The Chinese rules over answers of all combinations of eight sentences."""
+    t = F.concat(*[F.when(F.shiftright("doc_id", k).bitwiseAND(1) == 1, x).otherwise("") for k, x in enumerate(_ZH)])
+    d = docs(spark, sf).select("doc_id", t.alias("t"))
+    category = T.first_category("t", CHINESE.categories, CHINESE.default_category)
+    return d.select("doc_id", r6(S.format_reward("t", CHINESE)).alias("form"), r6(S.safety_reward("t", CHINESE)).alias("safety"), r6(S.risk_penalty("t", CHINESE)).alias("risk"), category.alias("category"), C.ad_flag("t", CHINESE.ads).alias("ad"), r6(C.risk_weight("t", CHINESE.risks)).alias("weight"))
+
+
+@query(f"""SELECT conv_id, turn, round({Q.format_reward("text")}, 6) AS format, round({Q.safety_reward("text")}, 6) AS safety, round(-({_REP}), 6) AS repetition, coalesce(text, '') = '' AS by_function
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text, {Q.key("text")} AS k FROM conversations)""")
+def reward_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Rewards by name, and one by a function over Arrow batches."""
+    from ..operators import rewards as R
+
+    d = table(spark, sf, "conversations")
+    names = [n for n in R.reward_names("medical", "separate") if n != "similarity"]
+    empty = R.by_function(lambda completions, **_: [float(not c) for c in completions], "text") == 1.0
+    return d.select("conv_id", "turn", *[r6(c).alias(n) for n, c in zip(names, R.rewards("text", F.lit(""), names, LATIN))], empty.alias("by_function"))
+
+
 @query(f"WITH {PARTS} SELECT doc_id, coverage, form, risk, safety, total FROM p")
 def prediction_total(spark: SparkSession, sf: str) -> DataFrame:
     return prediction_parts(docs(spark, sf)).select("doc_id", "coverage", "form", "risk", "safety", "total")
@@ -116,7 +171,8 @@ def prediction_total(spark: SparkSession, sf: str) -> DataFrame:
   SELECT doc_id, score, reasons, row_number() OVER (ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC) AS rank FROM f""")
 def selection_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of up to three pseudo models per document, ranked."""
-    p = prediction_parts(docs(spark, sf)).select("doc_id", *[F.round(c, 3).alias(c) for c in ("risk", "total", "form", "coverage")])  # no ties at the sixth digit
+    # no ties at the sixth digit; texts are gone over once, and only these narrow rows are ranked
+    p = G.cut(prediction_parts(docs(spark, sf)).select("doc_id", *[F.round(c, 3).alias(c) for c in ("risk", "total", "form", "coverage")]))
     pair = lambda **kv: F.create_map(*[x for k, c in kv.items() for x in (F.lit(k), F.col(c))])
     none = F.map_filter(pair(a="total"), lambda k, v: F.lit(False))
     scores = F.when(F.col("doc_id") % 4 == 0, none).when(F.col("doc_id") % 4 == 1, pair(base="total")).when(F.col("doc_id") % 4 == 2, pair(base="total", other="form")).otherwise(pair(sft_10k="form", base="total", other="coverage"))
@@ -156,13 +212,13 @@ def high_similarity_source(spark: SparkSession, sf: str) -> DataFrame:
     return G.top_k(first.select("doc_id", "score", "rank"), 100, F.col("rank"))
 
 
-@query(f"""SELECT lang, count(*) AS n, avg((({' AND '.join(Q.groups('text'))}))::INT::DOUBLE) AS structure_rate, avg((round({Q.safety_reward('text')}, 6) >= 0.85)::INT::DOUBLE) AS safe_rate,
-  avg((round({Q.length_penalty('text')}, 6) > 0.1)::INT::DOUBLE) AS long_rate FROM documents GROUP BY lang""")
+@query(f"""WITH k AS (SELECT lang, text, {Q.key("text")} AS k FROM documents WHERE coalesce(text, '') <> ''),
+  r AS (SELECT lang, length(text) AS n, {", ".join(f"{g} AS {x}" for x, g in zip(LATIN.sections, Q.groups("text")))}, round({Q.safety_reward("text")}, 6) AS safety, round({_REP}, 6) AS rep, {Q.matches("text", LATIN.risks)} > 0 AS risky FROM k)
+  SELECT lang, count(*) AS n, avg(({" AND ".join(LATIN.sections)})::INT::DOUBLE) AS structure_rate, {", ".join(f"avg({x}::INT::DOUBLE) AS {x}_rate" for x in LATIN.sections)}, avg((safety >= 0.85)::INT::DOUBLE) AS safe_rate,
+  round(avg(safety), 6) AS mean_safety, avg(risky::INT::DOUBLE) AS risky_rate, avg((rep > 0.1)::INT::DOUBLE) AS repetition_rate, round(avg(rep), 6) AS mean_repetition, avg(n) AS mean_length FROM r GROUP BY lang""")
 def structure_safety_rates(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.metrics import rates
-
-    d = docs(spark, sf).select("lang", S.structure_hit("text", LATIN).alias("structure"), (r6(S.safety_reward("text", LATIN)) >= 0.85).alias("safe"), (r6(S.length_penalty("text")) > 0.1).alias("long"))
-    return rates(d, ["structure", "safe", "long"], "lang")
+    d = S.structure_safety(docs(spark, sf).select("lang", "text"), "text", LATIN, LATIN.risks, "lang")
+    return d.withColumns({c: r6(F.col(c)) for c in ("mean_safety", "mean_repetition")})
 
 
 @query("SELECT o_orderkey, (o_orderkey % 3 = 0) OR (o_orderkey % 3 = 1 AND false) AS same FROM orders")
@@ -181,10 +237,14 @@ CURATED = f"""{CAND}, {OVERLAP},
 
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
-    """The funnel: lengths, first of each question, advertisements out, topic similarity times quality weight."""
-    kept = C.reject_reasons(candidates(spark, sf), "question", "answer", "doc_id", 20, LOW, HIGH).where("reject_reason IS NULL")
-    kept = C.without_ads(kept, "answer", LATIN.ads).withColumn("weight", C.risk_weight("answer", LATIN.risks))
-    scored = kept.join(summarised(spark, sf), "doc_id")
+    """The funnel: lengths, first of each question, advertisements out, topic similarity times quality weight.
+
+    Only narrow rows meet in the dedup, and similarity is computed for the texts that are left.
+    """
+    told = candidates(spark, sf).select("doc_id", "id", "lang", "question", C.length_reason("question", "answer", 20, LOW, HIGH).alias("reject_reason"), C.ad_flag("answer", LATIN.ads).alias("ad"), C.risk_weight("answer", LATIN.risks).alias("weight"))
+    kept = G.cut(C.duplicates_rejected(told, "question", "doc_id").where("reject_reason IS NULL AND NOT ad").select("doc_id", "id", "lang", "weight"))
+    texts = docs(spark, sf).select("doc_id", "text").join(kept.select("doc_id"), "doc_id", "left_semi")
+    scored = kept.join(summarised(spark, sf, texts), "doc_id")
     return scored.select("doc_id", "id", "lang", "matched_query", "weight", r6(r6(F.col("base_score")) * F.col("weight")).alias("score"))
 
 

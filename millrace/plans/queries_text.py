@@ -211,16 +211,17 @@ OVERLAP = f"""d AS (SELECT doc_id, {Q.char_grams('text')} AS g FROM documents),
                0.7::DOUBLE * coalesce(m, 0) + 0.3::DOUBLE * coalesce(t, 0) AS base_score FROM documents LEFT JOIN s USING (doc_id))"""
 
 
-def overlap(spark: SparkSession, sf: str, joined: bool = False) -> DataFrame:
+def overlap(spark: SparkSession, sf: str, joined: bool = False, texts: DataFrame | None = None) -> DataFrame:
     q = table(spark, sf, "benchmark").select("item_id", S.char_ngrams("text").alias("qg"))
     if joined:
         return S.overlap_scores(docs(spark, sf).select("doc_id", S.char_ngrams("text").alias("dg")), "doc_id", "dg", q, "item_id", "qg")
-    return S.overlap_to_queries(docs(spark, sf).select("doc_id", "text"), "doc_id", "text", q, "item_id", "qg")
+    return S.overlap_to_queries(docs(spark, sf).select("doc_id", "text") if texts is None else texts, "doc_id", "text", q, "item_id", "qg")
 
 
-def summarised(spark: SparkSession, sf: str) -> DataFrame:
-    scores = overlap(spark, sf).withColumn("score", F.round("score", 9))
-    return S.query_summary(scores, docs(spark, sf), "doc_id", "item_id", table(spark, sf, "benchmark").count())
+def summarised(spark: SparkSession, sf: str, texts: DataFrame | None = None) -> DataFrame:
+    """``query_summary`` of all documents, or of those of ``texts`` (doc_id, text)."""
+    scores = overlap(spark, sf, texts=texts).withColumn("score", F.round("score", 9))
+    return S.query_summary(scores, docs(spark, sf) if texts is None else texts, "doc_id", "item_id", table(spark, sf, "benchmark").count())
 
 
 @query(f"WITH {OVERLAP} SELECT doc_id, item_id, round(score, 6) AS score FROM o")
@@ -263,30 +264,28 @@ def dice_similarity(spark: SparkSession, sf: str) -> DataFrame:
 _COS = "list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) / (greatest(sqrt(list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(a.embedding, lambda x: x::DOUBLE))), 1e-12) * greatest(sqrt(list_inner_product(list_transform(b.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE))), 1e-12))"
 
 
-def anchors(spark: SparkSession, sf: str):
-    """The first vectors as a matrix: as many anchors as the operator is asked for, a bounded set."""
-    import numpy as np
+ASKED = "(SELECT * FROM embeddings WHERE vec_id % 50 = 0)"
 
-    rows = table(spark, sf, "embeddings").orderBy("vec_id").limit(8).collect()
-    return np.array([r["embedding"] for r in rows], dtype=float), [r["vec_id"] for r in rows]
 
+def asked(spark: SparkSession, sf: str, top: int | None = None) -> DataFrame:
+    """(vec_id, anchor, cosine): the vectors whose id is divisible by 50 against all."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    found = S.cosine_search(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), top).withColumnRenamed("query", "anchor")
+    return found.withColumn("raw", F.col("cosine")).withColumn("cosine", F.round("cosine", 6))
 
-@query(f"SELECT a.vec_id, b.vec_id AS anchor, round({_COS}, 6) AS cosine, round({Q.clamp(f'({_COS} + 1) / 2')}, 6) AS rescaled FROM embeddings a JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8) b ON true")
+
+@query(f"SELECT a.vec_id, b.vec_id AS anchor, round({_COS}, 6) AS cosine, round({Q.clamp(f'({_COS} + 1) / 2')}, 6) AS rescaled FROM embeddings a JOIN {ASKED} b ON true")
 def dense_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    """All vectors against eight anchors."""
-    matrix, names = anchors(spark, sf)
-    s = S.cosine_to_queries(table(spark, sf, "embeddings"), "vec_id", "embedding", matrix, names).withColumnRenamed("query", "anchor")
-    return s.select("vec_id", "anchor", F.round("cosine", 6).alias("cosine"), F.round(S.rescaled(F.col("cosine")), 6).alias("rescaled"))
+    return asked(spark, sf).select("vec_id", "anchor", "cosine", F.round(S.rescaled(F.col("raw")), 6).alias("rescaled"))
 
 
 @query(f"""SELECT vec_id, anchor, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY cosine DESC, vec_id) AS rank FROM (
-  SELECT a.vec_id, b.vec_id AS anchor, round({_COS}, 6) AS cosine FROM embeddings a JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8) b ON a.vec_id <> b.vec_id)) WHERE rank <= 10""", "rank")
+  SELECT a.vec_id, b.vec_id AS anchor, round({_COS}, 6) AS cosine FROM embeddings a JOIN {ASKED} b ON a.vec_id <> b.vec_id)) WHERE rank <= 10""", "rank")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.select import top_per_group
 
-    matrix, names = anchors(spark, sf)
-    s = S.cosine_to_queries(table(spark, sf, "embeddings"), "vec_id", "embedding", matrix, names).withColumnRenamed("query", "anchor").where("vec_id <> anchor").withColumn("cosine", F.round("cosine", 6))
-    return top_per_group(s, ["anchor"], 10, F.col("cosine").desc(), F.col("vec_id"))
+    s = asked(spark, sf, 11).where("vec_id <> anchor").drop("raw")
+    return top_per_group(s, ["anchor"], 10, F.col("cosine").desc(), F.col("vec_id")).select("vec_id", "anchor", "cosine", "rank")
 
 
 @query(f"SELECT a.vec_id, round(list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS dot, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -326,7 +325,13 @@ def ngram_repetition(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.round(S.ngram_repetition("text"), 6).alias("ratio"))
 
 
-@query()
+#: Sentences by the mark 1; a fold that puts the mark 2 between chunks; then each chunk with the start of the next.
+_PARTS = "list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_FOLD = "list_reduce(p, lambda s, x: CASE WHEN length(list_last(string_split(s, chr(2)))) + 1 + length(x) > 250 THEN s || chr(2) || x ELSE s || ' ' || x END)"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PARTS} AS p FROM documents), f AS (SELECT doc_id, string_split({_FOLD}, chr(2)) AS c FROM p WHERE len(p) > 0)
+  SELECT doc_id, i - 1 AS chunk, c[i] || CASE WHEN i < len(c) THEN ' ' || substr(c[i + 1], 1, 50) ELSE '' END AS text FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM f)""", "chunk")
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.posexplode(S.sentence_chunks("text")).alias("chunk", "text"))
 
@@ -350,19 +355,18 @@ def json_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", json_kind(F.expr(_KINDS.replace("VARCHAR", "STRING"))).alias("kind"))
 
 
-@query(f"""WITH a AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8),
-  d AS (SELECT anchor, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY cosine DESC, vec_id) AS rank FROM (SELECT a.vec_id, b.vec_id AS anchor, round({_COS}, 6) AS cosine FROM embeddings a JOIN a b ON a.vec_id <> b.vec_id)) WHERE rank <= 10),
-  s AS (SELECT b.vec_id AS anchor, e.vec_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY e.vec_id) AS rank FROM embeddings e JOIN a b ON e.label = b.label AND e.vec_id <> b.vec_id),
-  m AS (SELECT anchor, vec_id, sum(w) AS score FROM (SELECT anchor, vec_id, 0.5::DOUBLE / (rank + 60) AS w FROM d UNION ALL SELECT anchor, vec_id, 0.5::DOUBLE / (rank + 60) FROM s WHERE rank <= 10) GROUP BY anchor, vec_id)
-  SELECT anchor, vec_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 9) DESC, vec_id) AS rank FROM m) WHERE rank <= 5""".replace("JOIN a b ON", "JOIN a AS b ON").replace("FROM embeddings a JOIN a AS b", "FROM embeddings AS a JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8) AS b"), "rank")
+@query(f"""WITH {BM25}, {OVERLAP.replace("d AS (", "gd AS (", 1).replace("FROM d)", "FROM gd)").replace("  b AS (", "  gb AS (", 1).replace("FROM b)", "FROM gb)")},
+  lx AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM b),
+  gm AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM o),
+  m AS (SELECT item_id, doc_id, sum(w) AS score FROM (SELECT item_id, doc_id, 0.5::DOUBLE / (rank + 60) AS w FROM gm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 0.5::DOUBLE / (rank + 60) FROM lx WHERE rank <= 10) GROUP BY item_id, doc_id)
+  SELECT item_id, doc_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM m) WHERE rank <= 5""", "rank")
 def ensemble_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours by cosine and neighbours of the same label, merged by rank."""
+    """Documents for each benchmark item by n-gram similarity and by BM25, merged by rank."""
     from ..operators.select import top_per_group
 
-    matrix, names = anchors(spark, sf)
-    e = table(spark, sf, "embeddings")
-    dense = S.cosine_to_queries(e, "vec_id", "embedding", matrix, names).withColumnRenamed("query", "anchor").where("vec_id <> anchor").withColumn("cosine", F.round("cosine", 6))
-    dense = top_per_group(dense, ["anchor"], 10, F.col("cosine").desc(), F.col("vec_id"))
-    few = F.broadcast(e.orderBy("vec_id").limit(8).select(F.col("vec_id").alias("anchor"), "label"))
-    same = top_per_group(e.join(few, "label").where("vec_id <> anchor"), ["anchor"], 10, F.col("vec_id"))
-    return S.ensemble(dense, same, "anchor", "vec_id").withColumn("score", F.round("score", 9))
+    near = overlap(spark, sf).withColumn("score", F.round(F.round("score", 9), 6))
+    near = top_per_group(near, ["item_id"], 10, F.col("score").desc(), F.col("doc_id"))
+    lexical = top_per_group(bm25_scores(spark, sf), ["item_id"], 10, F.col("bm25").desc(), F.col("doc_id"))
+    merged = S.ensemble(near.select("item_id", "doc_id", "rank"), lexical.select("item_id", "doc_id", "rank"), "item_id", "doc_id", 10 * 2)
+    merged = merged.drop("rank").withColumn("score", F.round("score", 9))
+    return top_per_group(merged, ["item_id"], 5, F.col("score").desc(), F.col("doc_id"))

@@ -142,10 +142,33 @@ def not_test(name: Column | str) -> Column:
     return ~F.contains(F.lower(col(name)), F.lit("test"))
 
 
+def docx_text(content: bytes) -> str:
+    """The paragraphs of a Word file, which is a zip file of XML."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as f:
+        body = ElementTree.fromstring(f.read("word/document.xml"))
+    return "\n".join("".join(t.text or "" for t in p.iter(space + "t")) for p in body.iter(space + "p"))
+
+
+def pdf_text(content: bytes) -> str:
+    """The text of a PDF's pages, if a library for it is installed."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as missing:
+        raise ImportError("reading pdf files takes the pypdf library, or a reader for pdf in `readers`") from missing
+    import io
+
+    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+
+
 def document_texts(spark: SparkSession, path: str, readers: dict | None = None) -> DataFrame:
-    """(path, text) of files: txt as it is, html and md without tags, others by ``readers`` (extension: bytes to text). Arrow UDF for those."""
+    """(path, text) of files: txt as it is, html and md without tags, docx and pdf as text, others by ``readers`` (extension: bytes to text). Arrow UDF for those."""
 
-    own = dict(readers or {})
+    own = {"docx": docx_text, "pdf": pdf_text} | dict(readers or {})
     files = spark.read.format("binaryFile").load(path).select("path", "content", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"))
 
     @F.pandas_udf("string")
@@ -161,10 +184,12 @@ def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The file's rows, or none if it isn't there."""
+    """The rows of a JSON or, by its name, CSV file, or none if it isn't there."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         return spark.createDataFrame([], schema)
+    if path.lower().endswith(".csv"):
+        return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
     return spark.read.schema(schema).json(path)
 
 

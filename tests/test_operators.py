@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.rules import CHINESE
-from millrace.operators import chat, dedup, filters, generate, metrics, report, scoring, select, similarity, tokens, tools
+from millrace.operators import chat, dedup, filters, generate, metrics, report, rewards, scoring, select, similarity, tokens, tools
 from millrace.sources import readers, sinks
 
 
@@ -296,3 +296,114 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     streams.map_batches(stream, lambda d: d.where("k = 1"), str(tmp_path / "m"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "m")).count() == 3
+
+
+def test_report_leaves_no_row_out(spark):
+    df = spark.range(5).selectExpr("id AS n")
+    assert report.table(df, ["n"], F.col("n"), most=5).count("\n") == 6
+    with pytest.raises(ValueError):
+        report.table(df, ["n"], most=4)
+
+
+def test_required_sections_of_predictions(spark):
+    text = "可能原因：感染。注意用药安全，遵医嘱。"
+    arr = lambda *x: F.array(*[F.lit(v) for v in x])
+    d = spark.range(1).select(F.lit(text).alias("t"))
+    row = d.select(
+        scoring.keyword_coverage("t", F.lit("内科学"), CHINESE, arr("用药风险", "儿科就医建议")).alias("two"),
+        scoring.keyword_coverage("t", F.lit("内科学"), CHINESE, arr("处理建议")).alias("none"),
+        scoring.format_score("t", CHINESE, arr("初步判断", "复诊建议", "急诊")).alias("form"),
+    ).first()
+    assert row["two"] == pytest.approx((2 + 1 + 0) / 6)  # 分析 and 风险 groups; 药物禁忌 hit, 儿科学 not
+    assert row["none"] == pytest.approx(2 / 4)
+    assert row["form"] == pytest.approx(1 / 3 + 0.05)  # analysis hit; visit twice, not hit; one heading
+
+
+def test_rewards_by_name(spark):
+    assert rewards.reward_names() == ("accuracy", "thought_format") and rewards.reward_names("MEDICAL", "combined") == ("combined",)
+    for bad in (("other", None), ("medical", "third")):
+        with pytest.raises(ValueError):
+            rewards.reward_names(*bad)
+    d = spark.createDataFrame([("<think>a</think><answer>4</answer>", "so\n#### 4"), (None, "5")], "t string, a string")
+    got = [tuple(r) for r in d.select(*rewards.rewards("t", "a", rewards.reward_names())).collect()]
+    assert got == [(1.0, 1.0), (0.0, 0.0)]
+    rewards.register("length", lambda text, answer, rules: F.length(text).cast("double"))
+    assert d.select(*rewards.rewards("t", "a", ["length"])).collect()[1][0] == 0.0
+    with pytest.raises(ValueError):
+        rewards.rewards("t", "a", ["nothing"])
+    own = d.select(rewards.by_function(lambda completions, gold: [float(c is not None and g is not None) for c, g in zip(completions, gold)], "t", gold="a").alias("r"))
+    assert [r["r"] for r in own.collect()] == [1.0, 0.0]
+
+
+def test_backend_of_topic_similarity(spark):
+    pairs = spark.createDataFrame([(1, "red apples", "grow on trees"), (2, "blue", "whales swim"), (3, None, None)], "id long, q string, a string")
+    asked = spark.createDataFrame([(10, "apples on trees"), (11, "whales")], "item long, text string")
+
+    def bags(texts):
+        return [[float(w in t) for w in ("apple", "tree", "whale", "swim")] for t in texts]
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    dense = {r["id"]: r for r in similarity.topic_similarity(pairs, "id", "q", "a", asked, "item", "text", embedder=bags).collect()}
+    assert dense[1]["matched_query"] == 10 and dense[2]["matched_query"] == 11 and dense[1]["max_similarity"] == pytest.approx(1.0) and dense[3]["max_similarity"] == 0.0
+    grams = similarity.topic_similarity(pairs, "id", "q", "a", asked, "item", "text").orderBy("id").collect()
+    with pytest.warns(UserWarning):
+        fallen = similarity.topic_similarity(pairs, "id", "q", "a", asked, "item", "text", embedder=broken).orderBy("id").collect()
+    assert fallen == grams and grams[0]["matched_query"] == 10 and grams[1]["matched_query"] == 11
+
+
+def test_cosine_search_in_blocks(spark):
+    rows = [(i, [float((i * 7) % 5) - 2, float(i % 3), 1.0]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    whole = similarity.cosine_search(df, "id", "v", df.where("id % 4 = 0"))
+    parts = similarity.cosine_search(df, "id", "v", df.where("id % 4 = 0"), block=3)
+    key = lambda d: sorted((r["id"], r["query"], round(r["cosine"], 9)) for r in d.collect())
+    assert key(whole) == key(parts) and whole.count() == 60 * 15
+    few = similarity.cosine_search(df.coalesce(1), "id", "v", df.where("id % 4 = 0"), top=3)
+    assert few.count() < 60 * 15
+    assert similarity.cosine_search(df, "id", "v", df.limit(0)).count() == 0
+
+
+def test_default_tool_calls_are_read_leniently(spark):
+    text = 'Thought\nAction:  get_weather\n\nAction Input:  ```{"city": "x"}```\nAction: two Action Input: "5"'
+    d = spark.createDataFrame([(text,), ("no call",), ("Action: a\nAction Input: {bad",)], "t string")
+    got = [r["c"] for r in d.select(tools.calls_or_text("t").alias("c")).collect()]
+    assert [(c["name"], c["arguments"]) for c in got[0]["calls"]] == [("get_weather", '{"city": "x"}'), ("two", "5")] and got[0]["content"] is None
+    assert got[1]["calls"] is None and got[1]["content"] == "no call" and got[2]["content"].startswith("Action: a")
+
+
+def test_splits_of_fixed_size(spark):
+    df = spark.range(20).selectExpr("id")
+    tail = select.tail_split(df, 3, F.col("id"))
+    assert {r["id"] for r in tail.where("split = 'validation'").collect()} == {17, 18, 19} and tail.count() == 20
+    sized = select.sized_split(df, "id", 6)
+    assert sized.where("split = 'validation'").count() == 6 and sized.count() == 20
+    other = select.sized_split(df, "id", 6, seed=7).where("split = 'validation'").collect()
+    assert {r["id"] for r in sized.where("split = 'validation'").collect()} != {r["id"] for r in other}
+    assert select.tail_split(df.limit(0), 3, F.col("id")).count() == 0
+
+
+def test_interleave_takes_null_as_a_source(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "x", "b"), (3, "y", "c"), (4, "x", "d"), (5, None, None), (6, "y", None)], "id long, s string, t string")
+    got = select.interleave(df, "s", ["x", "y", None], F.col("id"), "t").orderBy("ord").collect()
+    assert [r["id"] for r in got] == [2, 3, 1, 4, 6]  # the second null text is a repetition
+
+
+def test_word_files_and_optional_csv(spark, tmp_path):
+    import zipfile
+
+    os.makedirs(tmp_path / "w")
+    with zipfile.ZipFile(tmp_path / "w" / "a.docx", "w") as f:
+        f.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>one </w:t></w:r><w:r><w:t>line</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>')
+    assert [r["text"] for r in readers.document_texts(spark, str(tmp_path / "w")).collect()] == ["one line\ntwo"]
+    path = write(tmp_path / "x.csv", "a,b", '1,"q ""r"""')
+    assert [tuple(r) for r in readers.optional_json(spark, path, "a int, b string").collect()] == [(1, 'q "r"')]
+    assert readers.optional_json(spark, str(tmp_path / "none.csv"), "a int").count() == 0
+
+
+def test_templates_with_system_prompts():
+    t = chat.TEMPLATES
+    assert len(t) == 33 and t["qwen3_nothink"] == t["qwen"] and t["qwen"].sep == "\n" and t["qwen"].system.endswith("assistant.<|im_end|>\n")
+    assert t["vicuna"].system.startswith("A chat between a curious user") and t["phoenix"].system.endswith("the human's questions.\n\n")
+    assert t["llama3"].system.startswith("<|start_header_id|>system") and t["llama2-zh"].system.startswith("[INST] <<SYS>>")
