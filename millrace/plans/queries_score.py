@@ -236,6 +236,10 @@ CURATED = f"""{CAND}, {OVERLAP},
   z AS (SELECT k.doc_id, k.id, k.lang, c.matched_query, {_WEIGHT} AS weight, round(round(c.base_score, 6) * {_WEIGHT}, 6) AS score FROM k JOIN c ON c.doc_id = k.doc_id WHERE k.rn = 1 AND {_ADS} = 0)"""
 
 
+#: So many ids at most are broadcast.
+MOST_SENT = 200_000
+
+
 def curated(spark: SparkSession, sf: str) -> DataFrame:
     """The funnel: lengths, first of each question, advertisements out, topic similarity times quality weight.
 
@@ -243,7 +247,9 @@ def curated(spark: SparkSession, sf: str) -> DataFrame:
     """
     told = candidates(spark, sf).select("doc_id", "id", "lang", "question", C.length_reason("question", "answer", 20, LOW, HIGH).alias("reject_reason"), C.ad_flag("answer", LATIN.ads).alias("ad"), C.risk_weight("answer", LATIN.risks).alias("weight"))
     kept = G.cut(C.duplicates_rejected(told, "question", "doc_id").where("reject_reason IS NULL AND NOT ad").select("doc_id", "id", "lang", "weight"))
-    texts = docs(spark, sf).select("doc_id", "text").join(kept.select("doc_id"), "doc_id", "left_semi")
+    ids = kept.select("doc_id")
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT  # else the join shuffles
+    texts = docs(spark, sf).select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     scored = kept.join(summarised(spark, sf, texts), "doc_id")
     return scored.select("doc_id", "id", "lang", "matched_query", "weight", r6(r6(F.col("base_score")) * F.col("weight")).alias("score"))
 
