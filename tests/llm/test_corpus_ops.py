@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -699,6 +700,34 @@ def test_cut_encoding_is_exact():
         assert own.encode(pa.array([], pa.string())) == []
 
 
+def test_signs_and_line_ends_make_no_new_pieces():
+    rng = random.Random(9)
+    words = [f"{a}{b}é"[: rng.randrange(2, 4)] for a in "bcdfgl" for b in "aeiou"] + ["straße", "x3", "don't"]
+    joins = [" ", "\n", ".\n", ", ", "$$$ ", " (", ")\n", "; ", "\n ", "  ", "\n\n", ": \n", "'s ", "-"]
+    texts = ["".join(rng.choice(words) + rng.choice(joins) for _ in range(100)) + "end" for _ in range(200)]
+    for most in (500_000, 40, 1):  # also where pieces are forgotten again
+        own = tokens.Encoder(tokens.default_path("byte_bpe_50k.json"), most_pieces=most)
+        for at in range(0, len(texts), 40):
+            part = texts[at : at + 40]
+            for t, ids in zip(part, own.encode(pa.array(part))):
+                assert ids.tobytes() == own.whole(t), repr(t)
+        assert len(own.known) < 500  # word by word with what may follow it there are thousands
+
+
+def test_cut_bytes_keeps_every_byte_and_cuts_where_the_tokenizer_does():
+    split = direct("byte_bpe_50k.json").pre_tokenizer.pre_tokenize_str
+    rng = random.Random(10)
+    signs = "aB3é×÷Ͽȿɀ²ªµ中ß'_.,!$-\"e\u0301\U0001d400 \n"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 12))) for _ in range(4000)]
+    texts = [t for t, uneven in zip(texts, pa.compute.match_substring_regex(pa.array(texts), tokens.UNEVEN).to_pylist()) if not uneven]
+    cut, limits = tokens.cut_bytes(pa.array(["left out", *texts, "", "left out"]).slice(1, len(texts) + 1))
+    pieces = cut.to_pylist()
+    for t, a, b in zip([*texts, ""], limits, limits[1:]):
+        assert "".join(pieces[a:b]) == t
+        assert [x for p in pieces[a:b] for x, _ in split(p)] == [x for x, _ in split(t)], repr(t)
+    assert tokens.cut_bytes(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def test_packing_round_trip(spark, docs):
     many = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + k, "some words of text " * (k % 97)) for k in range(600)], "doc_id long, text string"))
     tok = direct("byte_bpe_50k.json")
