@@ -407,3 +407,29 @@ def test_templates_with_system_prompts():
     assert len(t) == 33 and t["qwen3_nothink"] == t["qwen"] and t["qwen"].sep == "\n" and t["qwen"].system.endswith("assistant.<|im_end|>\n")
     assert t["vicuna"].system.startswith("A chat between a curious user") and t["phoenix"].system.endswith("the human's questions.\n\n")
     assert t["llama3"].system.startswith("<|start_header_id|>system") and t["llama2-zh"].system.startswith("[INST] <<SYS>>")
+
+
+
+def vectors_in_a_batch(rows):
+    import numpy as np
+    import pyarrow as pa
+
+    m = np.random.default_rng(1).integers(-2, 3, (rows, 4)).astype("float32")
+    return m.astype(float), pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(list(m))], ["id", "v"])
+
+
+def test_cosine_pairs_come_in_tiles():
+    m, batch = vectors_in_a_batch(3000)
+    sizes = [b.num_rows for b in similarity.cosine_kernel("id", m[:1000], range(1000))([batch])]
+    assert sum(sizes) == 3000 * 1000 and max(sizes) <= 1 << 18
+
+
+def test_best_cosines_of_a_task_are_kept_over_its_batches():
+    import numpy as np
+
+    m, batch = vectors_in_a_batch(3000)  # small whole numbers, so there are many ties
+    out = list(similarity.cosine_kernel("id", m[:700], range(700), top=3)([batch.slice(0, 1000), batch.slice(1000, 1500), batch.slice(2500)]))
+    got = sorted(zip(*[sum((b.column(c).to_pylist() for b in out), []) for c in ("query", "id")]))
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    cos = np.round(unit @ unit[:700].T, 6)
+    assert got == sorted((q, int(i)) for q in range(700) for i in np.lexsort((np.arange(3000), -cos[:, q]))[:3])
