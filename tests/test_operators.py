@@ -433,3 +433,21 @@ def test_best_cosines_of_a_task_are_kept_over_its_batches():
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     cos = np.round(unit @ unit[:700].T, 6)
     assert got == sorted((q, int(i)) for q in range(700) for i in np.lexsort((np.arange(3000), -cos[:, q]))[:3])
+
+
+def test_best_of_each_task_is_what_the_whole_table_gives(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}x" for k in range(1, 2 + i % 5)) if i % 9 else None) for i in range(80)], "id long, t string")
+    asked = spark.createDataFrame([(7, "w1x w2x w3x"), (8, "w0x w5x"), (9, ""), (6, "w5x w0x w1x")], "item long, t string")
+    q = asked.select("item", similarity.char_ngrams("t").alias("g"), similarity.words("t").alias("w"))
+    words = docs.select("id", similarity.words("t").alias("w"))
+    key = lambda d: sorted((r[0], r[1], round(r[2], 6)) for r in d.collect())
+    firsts = lambda d, c: key(select.top_per_group(d, ["item"], 3, F.col(c).desc(), F.col("id")).select("item", "id", c))
+    assert key(similarity.bm25_best(words, "id", "w", q, "item", "w", 3)) == firsts(similarity.bm25(words, "id", "w", q, "item", "w").withColumn("bm25", F.round("bm25", 6)), "bm25")
+    near = similarity.overlap_scores(docs.select("id", similarity.char_ngrams("t").alias("g")), "id", "g", q, "item", "g").withColumn("score", F.round("score", 9))
+    told = similarity.overlap_to_queries(docs.coalesce(1), "id", "t", q, "item", "g", digits=(9,), top=3)
+    assert told.count() == 9  # three queries with grams, three of each
+    assert firsts(told, "score") == firsts(near, "score")
+    wide = similarity.query_summary(near, docs, "id", "item", 4)
+    names = ["id", "max_similarity", "mean_top_similarity", "matched_query", "base_score"]
+    plain = lambda d: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.select(*names).orderBy("id").collect()]
+    assert plain(similarity.overlap_summary(docs, "id", "t", q, "item", "g")) == plain(wide)
