@@ -34,15 +34,20 @@ def format_reward(text: Column | str, rules: Rules, sections: Column | None = No
         return plain
     table = F.create_map(*[x for g, h in hit.items() for x in (F.lit(g), h.cast("int"))])
     named = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), lambda s: section_of(s, keys)), lambda g: g.isNotNull())
-    share = F.aggregate(named, F.lit(0), lambda s, g: s + F.element_at(table, g)) / F.nullif(F.size(named), F.lit(0))
-    return F.coalesce(share, plain)
+    share = lambda x: F.aggregate(x["named"], F.lit(0), lambda s, g: s + F.element_at(x["hit"], g)) / F.nullif(F.size(x["named"]), F.lit(0))
+    mean = lambda x: F.aggregate(F.map_values(x["hit"]), F.lit(0), lambda s, h: s + h) / F.lit(float(max(1, len(hit))))
+    return let(F.struct(table.alias("hit"), named.alias("named")), lambda x: F.coalesce(share(x), mean(x)))
 
 
 def format_score(text: Column | str, rules: Rules, sections: Column | None = None) -> Column:
     """``format_reward`` of the normalised text, with the section names of predictions, and up to 0.2 for headings."""
-    t = normalize_text(text)
-    headings = F.regexp_count(t, F.lit(rules.heading)) if rules.heading else F.lit(0)
-    return clamp(format_reward(t, rules, sections, rules.score_section_keys) + F.least(F.lit(0.2), headings * F.lit(0.05)))
+
+
+    def of(t: Column) -> Column:
+        headings = F.regexp_count(t, F.lit(rules.heading)) if rules.heading else F.lit(0)
+        return clamp(format_reward(t, rules, sections, rules.score_section_keys) + F.least(F.lit(0.2), headings * F.lit(0.05)))
+
+    return let(normalize_text(text), of)
 
 
 def positive_bonus(text: Column | str, rules: Rules, extra: Sequence[str] = ()) -> Column:
@@ -79,16 +84,19 @@ def keyword_coverage(text: Column | str, category: Column | str, rules: Rules, s
         own = F.when(col(category) == name, any_keyword(text, words).cast("int")).otherwise(own)
         has = F.when(col(category) == name, 1).otherwise(has)
     if sections is not None:
-        hits = {c: any_keyword(text, w).cast("int") for c, w in rules.category_keywords.items()}
+        hits = F.array(*[any_keyword(text, w).cast("int") for w in rules.category_keywords.values()])
+        at = {c: k for k, c in enumerate(rules.category_keywords)}
 
-        def hit(section: Column) -> Column:
+        def hit(section: Column, hits: Column) -> Column:
             out = None
             for words, category in rules.section_categories:
-                out = (F if out is None else out).when(any_keyword(section, words), hits[category])
+                out = (F if out is None else out).when(any_keyword(section, words), hits[at[category]])
             return F.lit(None).cast("int") if out is None else out
 
-        named = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), hit), lambda x: x.isNotNull())
-        own, has = own + F.aggregate(named, F.lit(0), lambda s, x: s + x), has + F.size(named)
+        wanted = F.coalesce(sections, F.array().cast("array<string>"))
+        named = let(hits, lambda h: F.filter(F.transform(wanted, lambda s: hit(s, h)), lambda x: x.isNotNull()))
+        more = let(named, lambda x: F.struct(F.aggregate(x, F.lit(0), lambda s, y: s + y).alias("own"), F.size(x).alias("has")))
+        return let(more, lambda x: (base + own + x["own"]) / (n + has + x["has"]))
     return (base + own) / (n + has)
 
 
@@ -151,11 +159,8 @@ FAMILY_STEPS = {"symptom": 0.08, "differential": 0.09, "risk": 0.10, "drug": 0.0
 
 def complexity(question: Column | str, answer: Column | str, score: Column, rules: Rules, category: Column | None = None, preferred: Sequence[str] = (), risks: Column | None = None) -> Column:
     """Lengths, keyword families (four hits each at most), a bonus for preferred categories, less for risky wording."""
-    q, a = normalize_text(question), normalize_text(answer)
-    text = F.concat(q, F.lit(" "), a)
-    out = F.coalesce(score, F.lit(0.0)) + saturating(F.length(q), 180, 0.25) + saturating(F.length(a), 900, 0.20)
-    for name, step in FAMILY_STEPS.items():
-        out = out + F.least(keyword_hits(text, rules.complexity[name]), F.lit(4)) * F.lit(step)
+    more = lambda out, text: sum((F.least(keyword_hits(text, rules.complexity[name]), F.lit(4)) * F.lit(step) for name, step in FAMILY_STEPS.items()), out)
+    out = _lengths_and_hits(question, answer, score, 0.20, more)
     if category is not None and preferred:
         out = out + F.when(category.isin(*preferred), 0.25).otherwise(0.0)
     return out if risks is None else out - F.least(risks.cast("double"), F.lit(3.0)) * F.lit(0.08)
@@ -163,12 +168,18 @@ def complexity(question: Column | str, answer: Column | str, score: Column, rule
 
 def complexity_flat(question: Column | str, answer: Column | str, score: Column, keywords: Sequence[str], risks: Column | None = None) -> Column:
     """The later form: one keyword list with eight hits at most, and more weight for the answer's length."""
-    q, a = normalize_text(question), normalize_text(answer)
-    text = F.concat(q, F.lit(" "), a)
-    out = F.coalesce(score, F.lit(0.0)) + saturating(F.length(q), 180, 0.25) + saturating(F.length(a), 900, 0.25) + F.least(keyword_hits(text, keywords), F.lit(8)) * F.lit(0.08)
+    more = lambda out, text: out + F.least(keyword_hits(text, keywords), F.lit(8)) * F.lit(0.08)
+    out = _lengths_and_hits(question, answer, score, 0.25, more)
     return out if risks is None else out - F.least(risks.cast("double"), F.lit(3.0)) * F.lit(0.08)
 
 
+def _lengths_and_hits(question: Column | str, answer: Column | str, score: Column, share: float, more) -> Column:
+    """The score and parts for the lengths, to which ``more`` adds by both texts together; each text is normalised once."""
+    base = lambda x: F.coalesce(score, F.lit(0.0)) + saturating(F.length(x["q"]), 180, 0.25) + saturating(F.length(x["a"]), 900, share)
+    told = lambda x: let(F.concat(x["q"], F.lit(" "), x["a"]), lambda text: more(base(x), text))
+    return let(F.struct(normalize_text(question).alias("q"), normalize_text(answer).alias("a")), told)
+
+
 def structure_hit(text: Column | str, rules: Rules) -> Column:
     out = F.lit(True)
     for words in rules.sections.values():

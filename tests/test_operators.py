@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.functions.rules import CHINESE
+from millrace.functions.rules import CHINESE, LATIN
 from millrace.operators import chat, dedup, filters, generate, metrics, report, rewards, scoring, select, similarity, tokens, tools
 from millrace.sources import readers, sinks
 
@@ -451,3 +451,37 @@ def test_best_of_each_task_is_what_the_whole_table_gives(spark):
     names = ["id", "max_similarity", "mean_top_similarity", "matched_query", "base_score"]
     plain = lambda d: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in d.select(*names).orderBy("id").collect()]
     assert plain(similarity.overlap_summary(docs, "id", "t", q, "item", "g")) == plain(wide)
+
+
+def test_texts_are_normalised_once(spark):
+    d = spark.createDataFrame([("q", "a", "the und tion")], "q string, a string, t string")
+    times = lambda c: d.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("regexp_replace(")
+    sections = F.array(F.lit("analysis"), F.lit("risk"))
+    assert times(scoring.format_score("t", LATIN, sections)) == 1 and times(scoring.format_score("t", LATIN)) == 1
+    assert times(scoring.keyword_coverage(T.normalize_text("t"), F.lit("general"), LATIN, None)) > 1  # callers give a column
+    assert times(scoring.complexity_flat("q", "a", F.lit(0.0), ["the", "und"])) == 2 and times(scoring.complexity("q", "a", F.lit(0.0), LATIN)) == 2
+    calls = F.array(F.struct(F.lit("f").alias("name"), F.lit("{}").alias("arguments")))
+    shown = d.select(tools.read_calls(tools.call_text(calls, "mistral"), "mistral").alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count("from_json(") == 1
+
+
+def test_funnels_go_over_texts_once(spark):
+    from millrace.plans import registry
+
+    for name in ("high_similarity_source", "dedup_then_ads", "selection_rank"):
+        left = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace(" not in left and "text#" not in left  # what is left to do reads narrow rows only
+
+
+def test_chunks_of_very_many_sentences(spark):
+    text = " ".join(f"Sentence {i} is here." for i in range(20000))
+    chunks = one(spark, similarity.sentence_chunks("a", 100, 10), a=text)
+    bodies = [c[:-11] for c in chunks[:-1]] + chunks[-1:]
+    assert " ".join(bodies) == text and all(len(b) <= 100 for b in bodies) and all(c.endswith(" " + b[:10]) for c, b in zip(chunks, bodies[1:]))
+    assert one(spark, similarity.sentence_chunks("a"), a=None) == [] and one(spark, similarity.sentence_chunks("a"), a=" \n") == [" \n"]
+
+
+def test_narrow_rows_are_spread_by_size(spark, tmp_path):
+    spark.range(200000).repartition(1).write.parquet(str(tmp_path / "n"))
+    rows = spark.read.parquet(str(tmp_path / "n"))
+    assert select.spread(rows, part_bytes=1 << 16).rdd.getNumPartitions() > select.spread(rows).rdd.getNumPartitions()
