@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, let
 
 DIALECTS = ("default", "glm4", "llama3", "mistral", "qwen")
 ALIASES = {"qwen3": "qwen", "qwen3.5": "qwen"}
@@ -111,8 +111,8 @@ def read_calls(text: Column | str, name: str = "default") -> Column:
         else:
             items = F.array(F.trim(t))
         calls = F.transform(items, lambda x: struct(F.get_json_object(x, "$.name"), F.get_json_object(x, f"$.{key}")))
-    fine = F.forall(calls, lambda x: x["name"].isNotNull() & x["arguments"].isNotNull() & F.try_parse_json(x["arguments"]).isNotNull())
-    return F.when((F.size(calls) > 0) & fine, calls)
+    fine = lambda cs: F.forall(cs, lambda x: x["name"].isNotNull() & x["arguments"].isNotNull() & F.try_parse_json(x["arguments"]).isNotNull())
+    return let(calls, lambda cs: F.when((F.size(cs) > 0) & fine(cs), cs))
 
 
 def calls_or_text(text: Column | str, name: str = "default") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators import chat as K
 from ..operators import filters as C
 from ..operators import select as G
@@ -196,8 +197,9 @@ def tool_call_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Every dialect reads back what it wrote; text without a call gives null."""
     args = F.format_string('{"id":%d}', "event_id")
     calls = F.array(F.struct(F.col("event_type").alias("name"), args.alias("arguments")))
-    e = table(spark, sf, "events").select("event_id", "event_type", args.alias("args"), calls.alias("calls"))
-    same = [F.coalesce((L.read_calls(L.call_text("calls", n), n)[0]["name"] == F.col("event_type")) & (L.read_calls(L.call_text("calls", n), n)[0]["arguments"] == F.col("args")), F.lit(False)).cast("int") for n in L.DIALECTS]
+    e = G.spread(table(spark, sf, "events").select("event_id", "event_type"), part_bytes=1 << 20).select("event_id", "event_type", args.alias("args"), calls.alias("calls"))
+    back = lambda n: let(L.read_calls(L.call_text("calls", n), n), lambda c: F.coalesce((c[0]["name"] == F.col("event_type")) & (c[0]["arguments"] == F.col("args")), F.lit(False)))
+    same = [back(n).cast("int") for n in L.DIALECTS]
     some = F.when(F.col("event_id") % 2 == 0, L.call_text("calls")).otherwise(F.lit("no call here"))
     return e.select("event_id", sum(same, F.lit(0)).alias("dialects"), L.read_calls(some).isNotNull().alias("plain_read"))
 
